@@ -12,43 +12,59 @@ STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 /
 SHIFT = 7
 
 
-def _stirling(x: Column) -> Column:
-    inv2 = 1.0 / (x * x)
-    series = F.lit(STIRLING[-1])
+def sql(x) -> str:
+    """A number as a SQL double, or SQL text in brackets."""
+    return f"{float(x)!r}D" if isinstance(x, (int, float)) else f"({x})"
+
+
+def lgamma_sql(x) -> str:
+    """SQL text of log Γ(x), x > 0: small arguments are shifted up before the Stirling series.
+
+    Formulas that use it are put together as SQL text, which Spark parses in one call;
+    building them operator by operator costs far more than running them on small data.
+    """
+    if isinstance(x, (int, float)):
+        return sql(math.lgamma(x))
+    x = sql(x)
+    small = f"{x} < {SHIFT}"
+    y = f"(IF({small}, {x} + {SHIFT}D, CAST({x} AS DOUBLE)))"
+    inv2 = f"(1D / ({y} * {y}))"
+    series = sql(STIRLING[-1])
     for c in reversed(STIRLING[:-1]):
-        series = series * inv2 + c
-    return (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + series / x
+        series = f"({series} * {inv2} + {sql(c)})"
+    rising = " * ".join([f"CAST({x} AS DOUBLE)"] + [f"({x} + {i}D)" for i in range(1, SHIFT)])
+    return (f"(({y} - 0.5D) * ln({y}) - {y} + {sql(0.5 * math.log(2 * math.pi))} + {series} / {y}"
+            f" - IF({small}, ln({rising}), 0D))")
 
 
 def lgamma_col(x) -> Column:
-    """log Γ(x) for x > 0: small arguments are shifted up before the Stirling series."""
-    x = F.col(x) if isinstance(x, str) else x
-    rising = x
-    for i in range(1, SHIFT):
-        rising = rising * (x + i)
-    return F.when(x < SHIFT, _stirling(x + SHIFT) - F.ln(rising)).otherwise(_stirling(x))
+    """log Γ of a SQL expression, x > 0."""
+    return F.expr(lgamma_sql(x))
 
 
 def factln_col(n) -> Column:
-    n = F.col(n) if isinstance(n, str) else n
-    return lgamma_col(n + 1.0)
+    return lgamma_col(f"{n} + 1D")
 
 
-def polya_ratio(a, n, k) -> Column:
-    """log Γ(a+n+k) − log Γ(a+n): the Dirichlet-multinomial step for k more of a term."""
-    return lgamma_col(a + n + k) - lgamma_col(a + n)
+def polya_sql(a, n, k) -> str:
+    return f"({lgamma_sql(f'{sql(a)} + {sql(n)} + {sql(k)}')} - {lgamma_sql(f'{sql(a)} + {sql(n)}')})"
 
 
-def polya_gain(a, n, k) -> Column:
-    """What n earlier occurrences add to ``polya_ratio(a, 0, k)``; a plain log for k = 1."""
-    one = F.ln(a + n) - F.ln(a)
-    many = polya_ratio(a, n, k) - polya_ratio(a, F.lit(0.0), k)
-    return F.when(k == 1, one).otherwise(many)
+def polya_ratio(a, n, k) -> Column:
+    """log Γ(a+n+k) − log Γ(a+n): the Dirichlet-multinomial step for k more of a term."""
+    return F.expr(polya_sql(a, n, k))
 
 
 def polya_empty(a, k) -> Column:
     """``polya_ratio(a, 0, k)``; a plain log for k = 1."""
-    return F.when(k == 1, F.ln(a)).otherwise(polya_ratio(a, F.lit(0.0), k))
+    many = f"{lgamma_sql(f'{sql(a)} + {sql(k)}')} - {lgamma_sql(a)}"
+    return F.expr(f"IF({k} = 1, ln({sql(a)}), {many})")
+
+
+def polya_gain(a, n, k) -> Column:
+    """What n earlier occurrences add to ``polya_ratio(a, 0, k)``; a plain log for k = 1."""
+    many = f"{polya_sql(a, n, k)} - {lgamma_sql(f'{sql(a)} + {sql(k)}')} + {lgamma_sql(a)}"
+    return F.expr(f"IF({k} = 1, ln({sql(a)} + {n}) - ln({sql(a)}), {many})")
 
 
 def logsumexp(df, keys, value: str, out: str = "lse"):
@@ -102,6 +118,5 @@ def dp_size_logp(sizes, n: str, alpha: float, eps: float = 1e-6):
     total = sizes.agg(F.sum(F.col(n) - alpha)).first()[0]
     share = F.least(F.lit(1 - eps), F.greatest(F.lit(eps), (F.col(n) - alpha) / total))
     body = sizes.agg(F.sum((alpha - 1) * F.ln(share)).alias("_body"), F.count("*").alias("_dim"))
-    density = (lgamma_col(alpha * F.col("_dim")) - F.col("_dim") * lgamma_col(F.lit(float(alpha)))
-               + F.col("_body"))
+    density = F.expr(f"{lgamma_sql(f'{sql(alpha)} * _dim')} - _dim * {lgamma_sql(float(alpha))} + _body")
     return body.select(F.greatest(F.lit(-300.0), F.least(F.lit(300.0), density)).alias("logp"))

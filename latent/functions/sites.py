@@ -18,22 +18,33 @@ from pyspark.sql import Window
 MANTISSA = 16 ** 13
 
 
+class Key(str):
+    """Name of a column whose value takes part in a draw's key."""
+
+
+DOC, TERM, POS = Key("doc_id"), Key("term"), Key("pos")
+
+
+def uniform_sql(*keys) -> str:
+    parts = [f"CAST({k} AS STRING)" if isinstance(k, Key) else "'" + str(k).replace("'", "\\'") + "'"
+             for k in keys]
+    return (f"(CAST(conv(substring(md5(concat_ws('|', {', '.join(parts)})), 1, 13), 16, 10) AS BIGINT)"
+            f" / {float(MANTISSA)!r}D)")
+
+
 def site_uniform(*keys) -> Column:
-    """Uniform in [0, 1) from 52 bits of the md5 of the joined keys."""
-    parts = [k if isinstance(k, Column) else F.lit(str(k)) for k in keys]
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / float(MANTISSA)
+    """Uniform in [0, 1) from 52 bits of the md5 of the joined keys, columns or constants."""
+    return F.expr(uniform_sql(*keys))
 
 
 def site_integer(n, *keys) -> Column:
-    n = n if isinstance(n, Column) else F.lit(n)
-    return F.floor(site_uniform(*keys) * n).cast("int")
+    return F.expr(f"CAST(floor({uniform_sql(*keys)} * {n}) AS INT)")
 
 
 def site_gaussian(*keys) -> Column:
     """Standard normal by Box-Muller; the first uniform is flipped into (0, 1]."""
-    return (F.sqrt(-2.0 * F.ln(1.0 - site_uniform(*keys, "a")))
-            * F.cos(2 * math.pi * site_uniform(*keys, "b")))
+    return F.expr(f"sqrt(-2D * ln(1D - {uniform_sql(*keys, 'a')}))"
+                  f" * cos({2 * math.pi!r}D * {uniform_sql(*keys, 'b')})")
 
 
 def sample_site(scores: DataFrame, keys: list[str], candidate: str, u: Column,
@@ -44,16 +55,16 @@ def sample_site(scores: DataFrame, keys: list[str], candidate: str, u: Column,
     ``u`` is kept, with its normalised probability. A window partition holds one
     site's candidates, never a site's data.
     """
-    site = Window.partitionBy(*keys)
-    upto = site.orderBy(candidate).rowsBetween(Window.unboundedPreceding, 0)
-    return (scores
-            .withColumn("_w", F.exp(F.col(log_weight) - F.max(log_weight).over(site)))
-            .withColumn("_cum", F.sum("_w").over(upto))
-            .withColumn("_tot", F.max("_cum").over(site))
-            .withColumn("_u", u * F.col("_tot"))
-            .withColumn("_from", F.lag("_cum", 1, 0.0).over(site.orderBy(candidate)))
-            .where((F.col("_from") <= F.col("_u")) & (F.col("_u") < F.col("_cum")))
-            .select(*keys, candidate, (F.col("_w") / F.col("_tot")).alias("chosen_probability")))
+    by = ", ".join(keys)
+    upto = f"PARTITION BY {by} ORDER BY {candidate}"
+    return (scores.withColumn("_u", u)
+            .selectExpr(*keys, candidate, "_u", f"exp({log_weight} - max({log_weight}) OVER "
+                        f"(PARTITION BY {by})) AS _w")
+            .selectExpr("*", f"sum(_w) OVER ({upto} ROWS UNBOUNDED PRECEDING) AS _cum")
+            .selectExpr("*", f"max(_cum) OVER (PARTITION BY {by}) AS _tot",
+                        f"lag(_cum, 1, 0D) OVER ({upto}) AS _from")
+            .where("_from <= _u * _tot AND _u * _tot < _cum")
+            .selectExpr(*keys, candidate, "_w / _tot AS chosen_probability"))
 
 
 def chosen_probability(scores: DataFrame, keys: list[str], log_weight: str = "log_weight",

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from latent.functions.mathx import lgamma_col, log_bessel_i, polya_empty, polya_gain
-from latent.functions.sites import flat, site_integer, site_uniform
+from latent.functions.mathx import lgamma_col, lgamma_sql, log_bessel_i, polya_empty, polya_gain, sql
+from latent.functions.sites import TERM, flat, site_integer, site_uniform
 from latent.operators.corpus import spread_join
 
 NEW = -1
@@ -57,14 +57,18 @@ def _site_cells(sites: DataFrame, vcells: DataFrame) -> DataFrame:
     return vcells.join(sites.select("doc_id", "view", "home"), ["doc_id", "view"])
 
 
-def shared_gain(sites: DataFrame, vcells: DataFrame, terms: DataFrame, gain, hot=()) -> DataFrame:
-    """Σ over shared terms of ``gain(nw¬, n)`` per (doc, view, cluster)."""
+def shared_gain(sites: DataFrame, vcells: DataFrame, terms: DataFrame, gain: Column,
+                hot=()) -> DataFrame:
+    """Σ of ``gain`` over shared terms per (doc, view, cluster).
+
+    ``gain`` is a column of the site's count ``n`` and the cluster's count without it, ``_rest``.
+    """
     mine = _site_cells(sites, vcells)
     met = spread_join(mine, terms, ["view", "term"], list(hot), "term", "doc_id")
     rest = F.col("nw") - _is_home() * F.col("n")
     return (met.withColumn("_rest", rest).where(F.col("_rest") > 0)
             .groupBy("doc_id", "view", "cluster")
-            .agg(F.sum(gain(F.col("_rest"), F.col("n"))).alias("gain")))
+            .agg(F.sum(gain).alias("gain")))
 
 
 def _against(sites: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def empty_data(sites: DataFrame, vcells: DataFrame, eta: float) -> DataFrame:
     """Σ_w of the term factors an empty cluster gives each site."""
     return (vcells.join(sites.select("doc_id", "view"), ["doc_id", "view"], "left_semi")
             .groupBy("doc_id", "view")
-            .agg(F.sum(polya_empty(F.lit(float(eta)), F.col("n"))).alias("empty")))
+            .agg(F.sum(polya_empty(float(eta), "n")).alias("empty")))
 
 
 def score_clusters(sites: DataFrame, vcells: DataFrame, terms: DataFrame, clusters: DataFrame,
@@ -90,11 +94,10 @@ def score_clusters(sites: DataFrame, vcells: DataFrame, terms: DataFrame, cluste
     For the hard form the denominator is D − 1 + α; a cluster only the site itself holds is
     no candidate.
     """
-    gain = shared_gain(sites, vcells, terms,
-                       lambda nw, n: polya_gain(F.lit(float(eta)), nw, n), hot)
+    gain = shared_gain(sites, vcells, terms, polya_gain(float(eta), "_rest", "n"), hot)
     base = _against(sites, clusters).where(F.col("ndsum") > 0)
-    lw = (F.ln("ndsum") - F.ln(denominator) + lgamma_col(eta_sum + F.col("nwsum"))
-          - lgamma_col(eta_sum + F.col("nwsum") + F.col("k"))
+    lw = (F.ln("ndsum") - F.ln(denominator) + lgamma_col(f"{sql(eta_sum)} + nwsum")
+          - lgamma_col(f"{sql(eta_sum)} + nwsum + k")
           + F.coalesce("empty", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0)))
     return (base.join(gain, ["doc_id", "view", "cluster"], "left")
             .join(empty_data(sites, vcells, eta), ["doc_id", "view"], "left")
@@ -114,8 +117,8 @@ def open_views(clusters: DataFrame, kmax: int = -1, noise_view: bool = False) ->
 def score_new_cluster(sites: DataFrame, vcells: DataFrame, open_to: DataFrame, alpha: float,
                       eta: float, eta_sum: float, denominator: Column) -> DataFrame:
     """The new-cluster candidate: ln α − ln denominator + the ratio of an empty cluster."""
-    lw = (F.lit(float(np.log(alpha))) - F.ln(denominator) + lgamma_col(F.lit(float(eta_sum)))
-          - lgamma_col(eta_sum + F.col("k")) + F.coalesce("empty", F.lit(0.0)))
+    lw = (F.lit(float(np.log(alpha))) - F.ln(denominator) + lgamma_col(float(eta_sum))
+          - lgamma_col(f"{sql(eta_sum)} + k") + F.coalesce("empty", F.lit(0.0)))
     return (sites.join(open_to, "view", "left_semi")
             .join(empty_data(sites, vcells, eta), ["doc_id", "view"], "left")
             .select("doc_id", "view", F.lit(NEW).cast("long").alias("cluster"),
@@ -148,7 +151,7 @@ def score_mixture(sites: DataFrame, signal: DataFrame, terms: DataFrame, cluster
     Only terms the cluster has add to the data term; the others cost ln β each.
     """
     gain = shared_gain(sites, signal, terms,
-                       lambda nw, n: n * (F.ln(nw + beta) - F.ln(F.lit(float(beta)))), hot)
+                       F.expr(f"n * (ln(_rest + {sql(beta)}) - ln({sql(beta)}))"), hot)
     base = _against(sites, clusters)
     if prior == "dirichlet":
         weight = F.ln(xi + F.col("ndsum")) - F.ln(F.lit(k * xi + n_docs))
@@ -172,6 +175,10 @@ def score_mixture(sites: DataFrame, signal: DataFrame, terms: DataFrame, cluster
         "doc_id", "view", F.lit(NEW).cast("long").alias("cluster"), fresh.alias("log_weight")))
 
 
+def _size_factor(eta_sum: float) -> Column:
+    return F.expr(f"{lgamma_sql(float(eta_sum))} - {lgamma_sql(f'{sql(eta_sum)} + nwsum')}")
+
+
 def score_feature_view(wanted: DataFrame, terms: DataFrame, clusters: DataFrame,
                        view_features: DataFrame, eta: float, eta_sum: float, xi: float,
                        n_terms: int, n_views: int) -> DataFrame:
@@ -181,10 +188,10 @@ def score_feature_view(wanted: DataFrame, terms: DataFrame, clusters: DataFrame,
     add only their size factor, which is one number per view.
     """
     per_view = clusters.groupBy("view").agg(F.sum(
-        lgamma_col(F.lit(float(eta_sum))) - lgamma_col(eta_sum + F.col("nwsum"))).alias("norm"))
+        _size_factor(eta_sum)).alias("norm"))
     own = (wanted.join(terms, ["term", "view"])
            .groupBy("term", "view")
-           .agg(F.sum(polya_empty(F.lit(float(eta)), F.col("nw"))).alias("own")))
+           .agg(F.sum(polya_empty(float(eta), "nw")).alias("own")))
     prior = (F.ln(F.coalesce("features", _zero()) + xi) - F.ln(F.lit(n_terms + n_views * xi)))
     return (wanted.join(per_view, "view").join(view_features, "view", "left")
             .join(own, ["term", "view"], "left")
@@ -194,8 +201,8 @@ def score_feature_view(wanted: DataFrame, terms: DataFrame, clusters: DataFrame,
 
 def propose_views(term_views: DataFrame, n_views: int, rate: float, seed, it) -> DataFrame:
     """Terms that try another view this sweep, with a uniform target; same-view tries are void."""
-    u = site_uniform(seed, it, "try", F.col("term"))
-    target = site_integer(n_views, seed, it, "target", F.col("term"))
+    u = site_uniform(seed, it, "try", TERM)
+    target = site_integer(n_views, seed, it, "target", TERM)
     return (term_views.where(u < rate).select("term", F.col("view").alias("old_view"),
                                               target.cast("long").alias("new_view"))
             .where(F.col("old_view") != F.col("new_view")))
@@ -218,19 +225,18 @@ def mh_accept_feature(proposals: DataFrame, cells: DataFrame, members: DataFrame
     placed = (cells.join(proposals.select("term", F.col("new_view").alias("view")), "term")
               .join(members.select("doc_id", "view", "cluster"), ["doc_id", "view"])
               .groupBy("term", "view", "cluster").agg(F.sum("n").alias("add")))
-    e = F.lit(float(eta))
     delta = (placed.join(clusters, ["view", "cluster"]).groupBy("term", "view").agg(F.sum(
-        polya_empty(e, F.col("add")) + lgamma_col(eta_sum + F.col("nwsum"))
-        - lgamma_col(eta_sum + F.col("nwsum") + F.col("add"))).alias("delta")))
+        polya_empty(float(eta), "add") + lgamma_col(f"{sql(eta_sum)} + nwsum")
+        - lgamma_col(f"{sql(eta_sum)} + nwsum + add")).alias("delta")))
     norm = clusters.groupBy("view").agg(F.sum(
-        lgamma_col(F.lit(float(eta_sum))) - lgamma_col(eta_sum + F.col("nwsum"))).alias("norm"))
+        _size_factor(eta_sum)).alias("norm"))
     prior = (F.ln(F.coalesce("features", _zero()) + 1 + xi) - F.ln(F.lit(n_terms + n_views * xi)))
     after = (proposals.select("term", F.col("new_view").alias("view"))
              .join(norm, "view").join(features, "view", "left")
              .join(delta, ["term", "view"], "left")
              .select("term", (F.col("norm") + F.coalesce("delta", F.lit(0.0)) + prior)
                      .alias("after")))
-    u = site_uniform(seed, it, "accept", F.col("term"))
+    u = site_uniform(seed, it, "accept", TERM)
     return (proposals.join(before, "term").join(after, "term")
             .withColumn("log_ratio", F.col("after") - F.col("before"))
             .withColumn("accepted", F.ln(F.greatest(u, F.lit(1e-300))) < F.col("log_ratio"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latent.functions.mathx import sql
 from latent.functions.sites import site_uniform
 
 WORD = r"\p{L}+"
@@ -72,11 +73,13 @@ def rank_eta_prior(features: DataFrame, eta: float, b: float) -> DataFrame:
             .select("feature", (eta * F.pow(F.lit(float(b)), F.col("mean_n"))).alias("eta")))
 
 
-def depth_eta(eta, scale: float, level) -> Column:
+def depth_eta_sql(eta: float, scale: float, level: str):
+    return f"{sql(eta)} * power({sql(scale)}, CAST({level} AS DOUBLE))" if scale < 1 else eta
+
+
+def depth_eta(eta: float, scale: float, level: str) -> Column:
     """eta · scale^level for path scores; only a scale below 1 has an effect."""
-    eta = eta if isinstance(eta, Column) else F.lit(float(eta))
-    level = F.col(level) if isinstance(level, str) else level
-    return eta * F.pow(F.lit(float(scale)), level.cast("double")) if scale < 1 else eta
+    return F.expr(sql(depth_eta_sql(eta, scale, level)))
 
 
 def drop_unknown_words(tokens: DataFrame, features: DataFrame, word: str = "term") -> DataFrame:

@@ -27,7 +27,7 @@ def path_doc_counts(paths: DataFrame) -> DataFrame:
 
 def topic_array(k: int, z: str = "z") -> Column:
     """Dense per-topic counts of a group; one partial-aggregated sum per topic."""
-    return F.array(*[F.count_if(F.col(z) == i) for i in range(k)])
+    return F.expr(f"array({', '.join(f'count_if({z} = {i})' for i in range(k))})")
 
 
 def nonzero_docs(tokens: DataFrame, keys: list[str]) -> DataFrame:

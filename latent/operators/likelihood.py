@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latent.functions.mathx import lgamma_col, polya_empty
+from latent.functions.mathx import lgamma_sql, polya_empty, sql
 from latent.operators.levels import located
 
 
@@ -106,13 +106,13 @@ def ll_crosscat(cells: DataFrame, members: DataFrame, term_views: DataFrame, alp
     """Per view and cluster: Dirichlet-multinomial evidence and size prior; plus the view prior."""
     held = cells.join(term_views, "term").join(members, ["doc_id", "view"])
     word = held.groupBy("view", "cluster", "term").agg(F.sum("n").alias("n"))
-    terms = word.select((polya_empty(F.lit(float(eta)), F.col("n"))).alias("x"))
+    terms = word.select(polya_empty(float(eta), "n").alias("x"))
     sums = word.groupBy("view", "cluster").agg(F.sum("n").alias("nwsum"))
     clusters = members.groupBy("view", "cluster").agg(F.count("*").alias("ndsum")).join(
         sums, ["view", "cluster"], "left")
-    total = F.coalesce("nwsum", F.lit(0).cast("long"))
-    sizes = clusters.select((lgamma_col(F.lit(float(eta_sum))) - lgamma_col(eta_sum + total)
-                             + F.ln("ndsum") - F.ln(F.lit(n_docs - 1 + alpha))).alias("x"))
+    size = F.expr(f"{lgamma_sql(float(eta_sum))} - "
+                  f"{lgamma_sql(f'{sql(eta_sum)} + coalesce(nwsum, 0)')}")
+    sizes = clusters.select((size + F.ln("ndsum") - F.ln(F.lit(n_docs - 1 + alpha))).alias("x"))
     views = (members.select("view").distinct()
              .join(term_views.groupBy("view").agg(F.count("*").alias("f")), "view", "left")
              .select((F.ln(F.coalesce("f", F.lit(0)) + xi)

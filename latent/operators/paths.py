@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from latent.functions.mathx import lgamma_col, polya_empty, polya_gain
-from latent.operators.corpus import depth_eta, spread_join
+from latent.functions.mathx import lgamma_col, lgamma_sql, polya_empty, polya_gain, sql
+from latent.operators.corpus import depth_eta_sql, spread_join
 
 ROOT = "r"
 
@@ -83,9 +83,9 @@ def doc_level_terms(tokens: DataFrame) -> DataFrame:
 def doc_levels(doc_ids: DataFrame, dlt: DataFrame, depth: int, eta: float,
                scale: float) -> DataFrame:
     """Per document and level: tokens there, and the term factors of an empty node."""
-    e = depth_eta(eta, scale, "level")
+    e = depth_eta_sql(eta, scale, "level")
     held = dlt.groupBy("doc_id", "level").agg(
-        F.sum("n").alias("k"), F.sum(polya_empty(e, F.col("n"))).alias("empty"))
+        F.sum("n").alias("k"), F.sum(polya_empty(e, "n")).alias("empty"))
     grid = doc_ids.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(depth - 1)))
                           .alias("level"))
     return (grid.join(held, ["doc_id", "level"], "left")
@@ -110,13 +110,13 @@ def node_scores(doc_ids: DataFrame, tokens: DataFrame, paths: DataFrame, depth:
     at_home = F.coalesce(F.col("node_id") == F.col("home"), F.lit(False)).cast("long")
     under_home = F.coalesce(F.col("parent_id") == F.col("home_parent"),
                             F.lit(False)).cast("long")
-    e, es = depth_eta(eta, scale, "level"), depth_eta(eta_sum, scale, "level")
+    e, es = depth_eta_sql(eta, scale, "level"), depth_eta_sql(eta_sum, scale, "level")
 
     met = spread_join(dlt.join(homes, ["doc_id", "level"], "left"), terms, ["level", "term"],
                       list(hot), "term", "doc_id")
     gain = (met.withColumn("_rest", F.col("nw") - at_home * F.col("n")).where(F.col("_rest") > 0)
             .groupBy("doc_id", "node_id")
-            .agg(F.sum(polya_gain(e, F.col("_rest"), F.col("n"))).alias("gain")))
+            .agg(F.sum(polya_gain(e, "_rest", "n")).alias("gain")))
 
     base = (levels.join(homes, ["doc_id", "level"], "left").join(nodes, "level")
             .withColumn("ndsum", F.col("ndsum") - at_home)
@@ -126,7 +126,7 @@ def node_scores(doc_ids: DataFrame, tokens: DataFrame, paths: DataFrame, depth:
     bottom = ((gamma + 1) * F.col("n_parent") - 1 if m_dependent
               else gamma + F.col("n_parent") - 1)
     prior = F.when(F.col("level") > 0, F.ln("ndsum") - F.ln(bottom.cast("double"))).otherwise(0.0)
-    lp = (prior + lgamma_col(es + F.col("nwsum")) - lgamma_col(es + F.col("nwsum") + F.col("k"))
+    lp = (prior + lgamma_col(f"{sql(es)} + nwsum") - lgamma_col(f"{sql(es)} + nwsum + k")
           + F.col("empty") + F.coalesce("gain", F.lit(0.0)))
     each = (base.join(gain, ["doc_id", "node_id"], "left")
             .select("doc_id", "node_id", "level", "ndsum", "children", lp.alias("lp")))
@@ -152,9 +152,9 @@ def score_branches(visits: DataFrame, doc_ids: DataFrame, tokens: DataFrame, dep
     give the document.
     """
     mine = tokens.join(doc_ids, "doc_id", "left_semi")
-    es = depth_eta(eta_sum, scale, "level")
+    es = depth_eta_sql(eta_sum, scale, "level")
     levels = doc_levels(doc_ids, doc_level_terms(mine), depth, eta, scale).withColumn(
-        "fresh", F.col("empty") + lgamma_col(es) - lgamma_col(es + F.col("k")))
+        "fresh", F.expr(f"empty + {lgamma_sql(es)} - {lgamma_sql(f'{sql(es)} + k')}"))
     below = (Window.partitionBy("doc_id").orderBy(F.desc("level"))
              .rowsBetween(Window.unboundedPreceding, -1))
     chain = levels.select("doc_id", "level", F.coalesce(F.sum("fresh").over(below), F.lit(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from latent.functions.mathx import lgamma_col
+from latent.functions.mathx import lgamma_sql, sql
 from latent.session import Workspace
 
 MERGE_MARK = "\\n"
@@ -212,19 +212,18 @@ def score_senses(cells: DataFrame, doc_senses: DataFrame, node_terms: DataFrame,
     plus ln freq(sense)."""
     nwsum = node_terms.groupBy("node_id").agg(F.sum("n").alias("nwsum"))
     length = cells.groupBy("doc_id").agg(F.sum("n").alias("n_doc"))
-    zero = F.lit(0).cast("long")
-    e = F.lit(float(eta))
     base = (doc_senses.join(nwsum, "node_id", "left").join(length, "doc_id")
             .groupBy("doc_id", "sense")
-            .agg(F.sum(F.col("n_doc") * (lgamma_col(e) - lgamma_col(
-                eta_sum + F.coalesce("nwsum", zero)))).alias("base"),
+            .agg(F.sum(F.expr(f"n_doc * ({lgamma_sql(float(eta))} - "
+                              f"{lgamma_sql(f'{sql(eta_sum)} + coalesce(nwsum, 0)')})"))
+                 .alias("base"),
                 F.max("log_freq").alias("log_freq")))
     counts = node_terms.select("node_id", "term", F.col("n").alias("nw"))
     gain = (cells.join(doc_senses.select("doc_id", "sense", "node_id"), "doc_id")
             .join(counts, ["node_id", "term"]).where(F.col("nw") > 0)
             .groupBy("doc_id", "sense")
-            .agg(F.sum(F.col("n") * (lgamma_col(eta + F.col("nw")) - lgamma_col(e)))
-                 .alias("gain")))
+            .agg(F.sum(F.expr(f"n * ({lgamma_sql(f'{sql(eta)} + nw')} - "
+                              f"{lgamma_sql(float(eta))})")).alias("gain")))
     return (base.join(gain, ["doc_id", "sense"], "left")
             .select("doc_id", "sense", (F.col("base") + F.coalesce("gain", F.lit(0.0))
                                         + F.col("log_freq")).alias("log_weight")))

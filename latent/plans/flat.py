@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latent.functions.kernels import flat_draw, list_draw
-from latent.functions.sites import site_uniform
+from latent.functions.sites import DOC, POS, TERM, site_uniform
 from latent.operators.corpus import Corpus, spread_join
 from latent.operators.counts import topic_array
 from latent.operators.levels import slot_state
@@ -17,12 +17,13 @@ def zeros(k: int):
 
 
 def token_uniform(seed: int, it: int, step: str):
-    return site_uniform(seed, it, step, F.col("doc_id"), F.col("term"), F.col("pos"))
+    return site_uniform(seed, it, step, DOC, TERM, POS)
 
 
 def topic_totals(counts: DataFrame, k: int, column: str) -> list[int]:
     """Column sums of per-topic count arrays: k scalars."""
-    row = counts.agg(*[F.sum(F.get(column, i)).alias(f"t{i}") for i in range(k)]).first()
+    row = counts.agg(F.expr(f"array({', '.join(f'sum(get({column}, {i}))' for i in range(k))})")
+                     ).first()[0]
     return [int(x or 0) for x in row]
 
 
@@ -68,15 +69,23 @@ def slot_lists(part: DataFrame, node_terms: DataFrame, full: DataFrame, corpus:
 
 def redraw_slots(part: DataFrame, tokens: DataFrame, slots: DataFrame, eta: float, corpus: Corpus,
                  u, k: int | None = None, alpha=None, first: int = 0, stick=None,
-                 eta_sum: float | None = None) -> DataFrame:
-    """New slots for the tokens of ``part``; with ``k`` every document has k slots."""
+                 eta_sum: float | None = None, eta_table: DataFrame | None = None) -> DataFrame:
+    """New slots for the tokens of ``part``; with ``k`` every document has k slots.
+
+    ``eta_table(term, eta)`` replaces the common prior by one per term.
+    """
     eta_sum = corpus.n_terms * eta if eta_sum is None else eta_sum
     node_terms, full = slot_state(tokens, slots)
     met = slot_lists(part, node_terms, full, corpus)
+    prior = F.lit(float(eta))
+    if eta_table is not None:
+        met = spread_join(met, eta_table.withColumnRenamed("eta", "_eta"), ["term"], corpus.hot,
+                          "term", "doc_id")
+        prior = F.col("_eta")
     if k is None:
         draw = list_draw(eta_sum, corpus.n_terms)
-        z = draw("nw", "nwsum", "nd", "alpha", "reject", "z", F.lit(float(eta)), u)
+        z = draw("nw", "nwsum", "nd", "alpha", "reject", "z", prior, u)
     else:
         draw = flat_draw(k, alpha, eta_sum, first=first, stick=stick)
-        z = draw("nw", "nwsum", "nd", "z", F.lit(float(eta)), u)
+        z = draw("nw", "nwsum", "nd", "z", prior, u)
     return met.withColumn("z", z).select(*part.columns)

@@ -66,8 +66,7 @@ class Model:
 
     def split(self, df: DataFrame, name: str) -> list[DataFrame]:
         """Materialise a table with a ``batch`` column as one part per batch."""
-        return [self.ws.cut(df.where(F.col("batch") == b), f"{name}-{b}")
-                for b in range(self.run.batches)]
+        return self.ws.split(df, name, "batch", self.run.batches)
 
     def each_batch(self, state: State, name: str,
                    step: Callable[[State, DataFrame, int], DataFrame]) -> State:

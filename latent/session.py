@@ -47,6 +47,18 @@ class Workspace:
         table._latent_path = path
         return table
 
+    def split(self, df: DataFrame, name: str, by: str, n: int) -> list[DataFrame]:
+        """Materialise ``df`` once and return a scan for each value 0…n−1 of column ``by``."""
+        self._serial += 1
+        path = f"{self.path}/{self._serial:06d}-{name}"
+        df.write.partitionBy(by).parquet(path)
+        self._written.add(path)
+        table = self.spark.read.schema(df.schema).option("basePath", path).parquet(path)
+        parts = [table.where(F.col(by) == i).select(*df.columns) for i in range(n)]
+        for part in parts:
+            part._latent_path = path
+        return parts
+
     def retain(self, frames) -> None:
         """Delete every unpinned table except those behind ``frames``."""
         live = {getattr(f, "_latent_path", None) for f in frames}
