@@ -1 +1,824 @@
-Q, SQL = {}, {}
+"""Conditional scores, likelihoods, structure walks and summaries of hash-initial states."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.fixtures import (BRANDS, CELLS, CLUSTERS, DAG, EDGES, LABELS, PATHS, SHOP, VIEWS,
+                              brand_cells, cluster_members, customer_topics,
+                              doc_cells, int_sql, nation_edges, part_features, paths_of,
+                              shop_tokens, source_edges, table, term_views_of, tokens_of,
+                              tokens_sql, u_sql, view_members)
+from latent.operators import clusters as cl
+from latent.operators import corpus, counts, features, levels, likelihood, paths, structure, summary
+
+Q: dict = {}
+SQL: dict = {}
+
+
+def entry(name: str, sql: str | None = None):
+    def keep(fn):
+        Q[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+    return keep
+
+
+def n_terms(cells) -> int:
+    return cells.select("term").distinct().count()
+
+
+def by_slot(scored):
+    """Token rows folded per document and slot, so results stay readable in size."""
+    return scored.groupBy("doc_id", "slot").agg(F.count("*").alias("n"),
+                                                F.round(F.sum("log_weight"), 3).alias("lw"))
+
+
+V_SUM = "vs as (select count(distinct term) as v from cells)"
+
+
+def slot_scores(slots: str, eta="0.1", alpha_sum="sum(alpha)", word=None, where="") -> str:
+    """SQL of token scores over a slots(doc_id, slot, node_id, alpha) CTE, folded by slot."""
+    word = word or (f"ln({eta} + coalesce(nw, 0) - own) - ln({eta} * v + coalesce(nwsum, 0) - own)")
+    return f"""{slots}, {V_SUM},
+placed as (select t.*, node_id from tokens t join slots s on s.doc_id = t.doc_id and s.slot = t.z),
+nw as (select node_id, term, count(*) as nw from placed group by all),
+tot as (select node_id, count(*) as nwsum from placed group by all),
+nd as (select doc_id, z as slot, count(*) as nd from placed group by all),
+per as (select doc_id, sum(alpha) as alpha_sum from slots group by doc_id),
+len as (select doc_id, count(*) as n_doc from placed group by doc_id),
+c as (select t.doc_id, t.term, t.pos, s.slot, s.node_id, s.alpha, case when s.slot = t.z then 1 else 0 end as own,
+  nw, nwsum, coalesce(nd, 0) as nd, n_doc, alpha_sum, v
+  from tokens t join slots s on s.doc_id = t.doc_id join per on per.doc_id = t.doc_id
+  join len on len.doc_id = t.doc_id
+  left join nw on nw.node_id = s.node_id and nw.term = t.term left join tot on tot.node_id = s.node_id
+  left join nd on nd.doc_id = t.doc_id and nd.slot = s.slot, vs),
+scored as (select doc_id, term, pos, slot,
+  {word} + ln(alpha + nd - own) - ln(alpha_sum + n_doc - 1) as lw from c {where})"""
+
+
+FOLD = " select doc_id, slot, count(*) as n, round(sum(lw), 3) as lw from scored group by all"
+
+
+def flat_slots(k: int, alpha: float) -> str:
+    return (f"slots as (select doc_id, k as slot, cast(k as varchar) as node_id, {alpha}::double as alpha "
+            f"from (select distinct doc_id from cells), range({k}) r(k))")
+
+
+PATH_SLOTS = f"{PATHS}, slots as (select doc_id, level as slot, node_id, 0.1::double as alpha from paths)"
+
+
+@entry("score_levels", "with " + slot_scores(tokens_sql(10, CELLS) + ", " + flat_slots(10, 0.1)) + FOLD)
+def _(s, d):
+    cells = doc_cells(s, d)
+    slots = levels.topic_slots(cells.select("doc_id").distinct(), 10, 0.1)
+    return by_slot(levels.score_levels(tokens_of(cells, 10), slots, 0.1, 0.1 * n_terms(cells)))
+
+
+@entry("score_levels_tree", "with " + slot_scores(tokens_sql(3) + ", " + PATH_SLOTS, where="where slot > 0") + FOLD)
+def _(s, d):
+    cells = brand_cells(s, d)
+    slots = tree_slots(cells)
+    return by_slot(levels.score_levels(tokens_of(cells, 3), slots, 0.1, 0.1 * n_terms(cells),
+                                       skip_root=True))
+
+
+def tree_slots(cells, alpha=0.1):
+    return paths_of(cells).select("doc_id", F.col("level").alias("slot"), "node_id",
+                                  F.lit(alpha).alias("alpha"))
+
+
+LABEL_TOKENS = f"""{BRANDS}, {LABELS},
+tokens0 as (select doc_id, term, unnest(range(1, n + 1)) as pos from cells where doc_id in (select doc_id from doc_topics)),
+tokens as (select doc_id, term, pos, {int_sql(3, "'0'", "'init'", "doc_id", "term", "pos")} as z from tokens0)"""
+REJECT_WORD = """case when node_id like 'REJECT%' then -ln(v)
+  else ln(0.1 + coalesce(nw, 0) - own) - ln(0.1 * v + coalesce(nwsum, 0) - own) end"""
+
+
+def label_state(s, d):
+    cells = brand_cells(s, d)
+    slots = structure.as_slots(structure.add_reject(customer_topics(s, d)), 0.1)
+    tokens = tokens_of(cells, 3).join(slots.select("doc_id").distinct(), "doc_id", "left_semi")
+    return cells, tokens, slots
+
+
+@entry("score_labels", "with " + slot_scores(LABEL_TOKENS, word=REJECT_WORD) + FOLD)
+def _(s, d):
+    cells, tokens, slots = label_state(s, d)
+    v = n_terms(cells)
+    return by_slot(levels.score_labels(tokens, slots, 0.1, 0.1 * v, v))
+
+
+SOFT_SLOTS = f"""{VIEWS}, slots as (select doc_id, view as slot, view || '/' || cluster as node_id,
+  0.5::double as alpha from members)"""
+MARGINAL_SLOTS = """slots as (select doc_id, k as slot, 'v' || k as node_id, 0.5::double as alpha
+  from (select distinct doc_id from cells), range(2) r(k))"""
+
+
+@entry("score_soft_views", "with " + slot_scores(tokens_sql(2) + ", " + SOFT_SLOTS) + FOLD)
+def _(s, d):
+    cells = brand_cells(s, d)
+    slots = view_members(cells).select("doc_id", F.col("view").alias("slot"),
+                                       F.concat_ws("/", "view", "cluster").alias("node_id"))
+    return by_slot(levels.score_soft_views(tokens_of(cells, 2), slots, 0.1, 0.1 * n_terms(cells), 0.5))
+
+
+@entry("score_soft_views_marginal", "with " + slot_scores(tokens_sql(2) + ", " + MARGINAL_SLOTS) + FOLD)
+def _(s, d):
+    cells = brand_cells(s, d)
+    slots = view_members(cells).select("doc_id", F.col("view").alias("slot"),
+                                       F.concat(F.lit("v"), "view").alias("node_id"))
+    return by_slot(levels.score_soft_views(tokens_of(cells, 2), slots, 0.1, 0.1 * n_terms(cells), 0.5))
+
+
+NOISE_SLOTS = f"""{CLUSTERS}, slots as (select doc_id, k as slot,
+  case when k = 0 then 'c' || cluster else 'noise' || k end as node_id, 0.1::double as alpha
+  from members, range(3) r(k))"""
+
+
+@entry("score_noise", "with " + slot_scores(tokens_sql(3) + ", " + NOISE_SLOTS) + FOLD)
+def _(s, d):
+    cells = brand_cells(s, d)
+    return by_slot(levels.score_noise(tokens_of(cells, 3), cluster_members(cells), 2, 0.1, 0.1,
+                                      0.1 * n_terms(cells)))
+
+
+SHOP_FLAT = f"""{SHOP.replace('tokens as (', 'tokens1 as (')},
+tokens as (select doc_id, cast(cluster as varchar) as term, term as word, pos, z from tokens1),
+{flat_slots(5, 0.1)}"""
+
+
+@entry("score_clustered_topics", "with " + slot_scores(
+    SHOP_FLAT, word="ln(0.2 + coalesce(nw, 0) - own) - ln(0.2 * 6 + coalesce(nwsum, 0) - own)") + FOLD)
+def _(s, d):
+    return by_slot(levels.score_clustered_topics(shop_tokens(s, d), 5, 0.1, 0.2, 1.2))
+
+
+GEM = f"""{tokens_sql(3)}, {PATH_SLOTS}, {V_SUM},
+placed as (select t.*, node_id from tokens t join slots s on s.doc_id = t.doc_id and s.slot = t.z),
+nw as (select node_id, term, count(*) as nw from placed group by all),
+tot as (select node_id, count(*) as nwsum from placed group by all),
+nd as (select s.doc_id, s.slot, s.node_id, count(t.z) as nd from slots s left join tokens t
+  on t.doc_id = s.doc_id and t.z = s.slot group by all),
+gone as (select a.doc_id, b.slot as z, a.slot, a.node_id, a.nd - case when a.slot = b.slot then 1 else 0 end as n
+  from nd a join nd b on a.doc_id = b.doc_id and b.nd > 0),
+below as (select *, sum(n) over (partition by doc_id, z order by slot desc) as a from gone),
+steps as (select *, coalesce(ln((0.5 * 10 + a) / (10 + lag(a) over (partition by doc_id, z order by slot))), 0) as step from below),
+lp as (select *, ln(10 * 0.5 + n) - ln(10 + a) + sum(step) over (partition by doc_id, z order by slot rows unbounded preceding) as lp from steps),
+finite as (select t.doc_id, l.slot, ln(0.1 + coalesce(nw, 0) - case when l.slot = l.z then 1 else 0 end)
+  - ln(0.1 * v + coalesce(nwsum, 0) - case when l.slot = l.z then 1 else 0 end) + lp as lw
+  from tokens t join lp l on l.doc_id = t.doc_id and l.z = t.z
+  left join nw on nw.node_id = l.node_id and nw.term = t.term left join tot on tot.node_id = l.node_id, vs),
+rest as (select doc_id, z, 1 - sum(exp(lp)) as rest from lp group by all),
+scored as (select * from finite union all select t.doc_id, -1, ln(rest) + ln(0.1 / (0.1 * v))
+  from tokens t join rest r on r.doc_id = t.doc_id and r.z = t.z, vs where rest > 0)"""
+
+
+@entry("score_gem_levels", "with " + GEM + FOLD)
+def _(s, d):
+    cells = brand_cells(s, d)
+    return by_slot(levels.score_gem_levels(tokens_of(cells, 3), tree_slots(cells), 0.5, 10.0, 0.1,
+                                           0.1 * n_terms(cells)))
+
+
+# -- tree paths ----------------------------------------------------------------------------
+
+def tree_sql(scale: float = 1.0, m_dep: bool = False) -> str:
+    bottom = "2.0 * n_parent - 1" if m_dep else "1.0 + n_parent - 1"
+    e, es = f"(0.1 * pow({scale}, level))", f"(0.1 * v * pow({scale}, level))"
+    return f"""{tokens_sql(3)}, {PATHS}, {V_SUM},
+held as (select t.doc_id, t.z as level, t.term, p.node_id from tokens t join paths p on p.doc_id = t.doc_id and p.level = t.z),
+nw as (select node_id, level, term, count(*) as nw from held group by all),
+tot as (select node_id, count(*) as nwsum from held group by all),
+nodes as (select p.node_id, p.level, p.parent_id, count(*) as ndsum from paths p group by all),
+full_nodes as (select n.*, coalesce(nwsum, 0) as nwsum, q.ndsum as n_parent,
+  (select count(*) from nodes c where c.parent_id = n.node_id) as children
+  from nodes n left join tot using (node_id) left join nodes q on q.node_id = n.parent_id),
+dlt as (select doc_id, level, term, count(*) as n from held group by all),
+dl as (select p.doc_id, p.level, p.node_id as home, p.parent_id as home_parent,
+  coalesce(sum(n), 0) as k, coalesce(sum(lgamma({e.replace('level', 'p.level')} + n) - lgamma({e.replace('level', 'p.level')})), 0) as empty
+  from paths p left join dlt on dlt.doc_id = p.doc_id and dlt.level = p.level group by all),
+pairs as (select d.doc_id, f.node_id, f.level, d.k, d.empty, f.children,
+  case when f.node_id = d.home then 1 else 0 end as own, f.ndsum, f.nwsum,
+  f.n_parent - case when f.parent_id = d.home_parent then 1 else 0 end as n_parent
+  from dl d join full_nodes f on f.level = d.level),
+gain as (select x.doc_id, w.node_id,
+  sum(lgamma({e.replace('level', 'x.level')} + w.nw - x.n * (h.node_id = w.node_id)::int + x.n)
+    - lgamma({e.replace('level', 'x.level')} + w.nw - x.n * (h.node_id = w.node_id)::int)
+    - lgamma({e.replace('level', 'x.level')} + x.n) + lgamma({e.replace('level', 'x.level')})) as gain
+  from dlt x join nw w on w.level = x.level and w.term = x.term
+  join paths h on h.doc_id = x.doc_id and h.level = x.level group by all),
+lp as (select p.doc_id, p.node_id, p.level, p.ndsum - own as ndsum, children,
+  case when level > 0 then ln(p.ndsum - own) - ln({bottom}) else 0 end
+  + lgamma({es} + nwsum - own * k) - lgamma({es} + nwsum - own * k + k) + empty + coalesce(gain, 0) as lp
+  from pairs p left join gain g on g.doc_id = p.doc_id and g.node_id = p.node_id, vs where p.ndsum - own > 0),
+sums as (select a.doc_id, a.node_id, a.level, a.ndsum, a.children, sum(b.lp) as lw from lp a join lp b
+  on b.doc_id = a.doc_id and (b.node_id = a.node_id or starts_with(a.node_id, b.node_id || '/')) group by all)"""
+
+
+def visits(s, d, scale=1.0, m_dep=False):
+    cells = brand_cells(s, d)
+    docs = cells.select("doc_id").distinct()
+    tokens, tree = tokens_of(cells, 3), paths_of(cells)
+    return docs, tokens, 0.1 * n_terms(cells), paths.node_scores(
+        docs, tokens, tree, 3, 1.0, 0.1, 0.1 * n_terms(cells), scale, m_dep)
+
+
+LEAVES = " select doc_id, node_id, round(lw, 4) as log_weight from sums where level = 2"
+
+
+@entry("score_paths", "with " + tree_sql() + LEAVES)
+def _(s, d):
+    return paths.score_paths(visits(s, d)[3], 3).withColumn("log_weight", F.round("log_weight", 4))
+
+
+@entry("score_paths_m_dependent", "with " + tree_sql(0.5, True) + LEAVES)
+def _(s, d):
+    return paths.score_paths(visits(s, d, 0.5, True)[3], 3).withColumn(
+        "log_weight", F.round("log_weight", 4))
+
+
+BRANCH = f"""with {tree_sql()},
+fresh as (select doc_id, level, empty + lgamma(0.1 * v) - lgamma(0.1 * v + k) as f from dl, vs)
+select s.doc_id, s.node_id, round(lw - ln(1.0 + ndsum - 1) + (select sum(f) from fresh f
+  where f.doc_id = s.doc_id and f.level > s.level), 4) as log_weight from sums s"""
+
+
+@entry("score_branches", BRANCH + " where level < 2 and children < 3")
+def _(s, d):
+    docs, tokens, eta_sum, seen = visits(s, d)
+    return paths.score_branches(seen, docs, tokens, 3, 1.0, 0.1, eta_sum, max_branches=3).withColumn(
+        "log_weight", F.round("log_weight", 4))
+
+
+@entry("score_branches_prix_fixe", BRANCH + " where level = 1")
+def _(s, d):
+    docs, tokens, eta_sum, seen = visits(s, d)
+    return paths.score_branches(seen, docs, tokens, 3, 1.0, 0.1, eta_sum, prix_fixe=True).withColumn(
+        "log_weight", F.round("log_weight", 4))
+
+
+@entry("tree_node_ancestors", f"""with {BRANDS}, {PATHS}, n as (select distinct node_id from paths)
+select a.node_id, b.node_id as ancestor_id from n a join n b
+on a.node_id = b.node_id or starts_with(a.node_id, b.node_id || '/')""")
+def _(s, d):
+    return paths.ancestor_bridge(paths_of(brand_cells(s, d)).select("node_id").distinct())
+
+
+@entry("tree_is_consistent", f"""with {tokens_sql(4)}, {PATHS}
+select 'token' as fault, cast(z as varchar) as node_id from tokens where z = 3 group by z""")
+def _(s, d):
+    cells = brand_cells(s, d)
+    tokens, tree = tokens_of(cells, 4), paths_of(cells)
+    edges = tree.where("parent_id is not null").select(
+        F.col("parent_id"), F.col("node_id").alias("child_id")).distinct()
+    total = cells.agg(F.sum("n")).first()[0]
+    return paths.tree_is_consistent(tokens, tree, edges, counts.path_doc_counts(tree), total)
+
+
+# -- clusters --------------------------------------------------------------------------------
+
+def cluster_sql(vcells: str) -> str:
+    return f"""{vcells}, {V_SUM}, ds as (select count(distinct doc_id) as d from cells),
+held as (select c.*, m.cluster from vcells c join members m on m.doc_id = c.doc_id and m.view = c.view),
+nw as (select view, cluster, term, sum(n) as nw from held group by all),
+tot as (select view, cluster, sum(nw) as nwsum from nw group by all),
+sizes as (select m.view, m.cluster, count(*) as ndsum, coalesce(any_value(nwsum), 0) as nwsum
+  from members m left join tot on tot.view = m.view and tot.cluster = m.cluster group by all),
+sites as (select m.doc_id, m.view, m.cluster as home, coalesce(sum(n), 0) as k,
+  coalesce(sum(lgamma(0.1 + n) - lgamma(0.1)), 0) as empty
+  from members m left join vcells c on c.doc_id = m.doc_id and c.view = m.view group by all),
+gain as (select h.doc_id, h.view, w.cluster,
+  sum(lgamma(0.1 + nw - n * (h.cluster = w.cluster)::int + n) - lgamma(0.1 + nw - n * (h.cluster = w.cluster)::int)
+    - lgamma(0.1 + n) + lgamma(0.1)) as gain
+  from held h join nw w on w.view = h.view and w.term = h.term group by all),
+old as (select s.doc_id, s.view, z.cluster, s.k, s.empty, z.ndsum - (s.home = z.cluster)::int as ndsum,
+  z.nwsum - s.k * (s.home = z.cluster)::int as nwsum, coalesce(gain, 0) as gain, s.home
+  from sites s join sizes z on z.view = s.view
+  left join gain g on g.doc_id = s.doc_id and g.view = s.view and g.cluster = z.cluster)"""
+
+
+HARD = cluster_sql(f"{BRANDS}, {VIEWS}, vcells as (select doc_id, term, n, view from cells join term_views using (term))")
+SOFT = cluster_sql(f"""{tokens_sql(2)}, {VIEWS},
+vcells as (select doc_id, term, z as view, count(*) as n from tokens group by all)""")
+DATA = "lgamma(0.1 * v + nwsum) - lgamma(0.1 * v + nwsum + k) + empty + gain"
+NEW_DATA = "lgamma(0.1 * v) - lgamma(0.1 * v + k) + empty"
+
+
+def hard_state(s, d):
+    cells = brand_cells(s, d)
+    vcells, members = cl.view_cells(cells, term_views_of(cells)), view_members(cells)
+    terms = cl.cluster_terms(vcells, members)
+    return cells, vcells, members, terms, cl.cluster_sizes(members, terms)
+
+
+@entry("score_clusters", f"""with {HARD} select doc_id, view, cluster,
+round(ln(ndsum) - ln(d - 1 + 0.7) + {DATA}, 4) as log_weight from old, vs, ds where ndsum > 0""")
+def _(s, d):
+    cells, vcells, members, terms, sizes = hard_state(s, d)
+    n_docs = cells.select("doc_id").distinct().count()
+    return cl.score_clusters(cl.sites_of(members, vcells), vcells, terms, sizes, 0.7, 0.1,
+                             0.1 * n_terms(cells), F.lit(n_docs - 1 + 0.7)).withColumn(
+        "log_weight", F.round("log_weight", 4))
+
+
+@entry("score_new_cluster", f"""with {HARD} select doc_id, view, -1 as cluster,
+round(ln(0.7) - ln(d - 1 + 0.7) + {NEW_DATA}, 4) as log_weight from sites, vs, ds where view <> 0""")
+def _(s, d):
+    cells, vcells, members, terms, sizes = hard_state(s, d)
+    n_docs = cells.select("doc_id").distinct().count()
+    return cl.score_new_cluster(cl.sites_of(members, vcells), vcells,
+                                cl.open_views(sizes, 5, noise_view=True), 0.7, 0.1,
+                                0.1 * n_terms(cells), F.lit(n_docs - 1 + 0.7)).withColumn(
+        "log_weight", F.round("log_weight", 4))
+
+
+@entry("score_soft_clusters", f"""with {SOFT}, nv as (select view, count(*) as nv from members group by view)
+select doc_id, view, cluster, round(ln(ndsum) - ln(nv - 2 + 0.7) + {DATA}, 4) as log_weight
+from old join nv using (view), vs where ndsum > 0 and k > 0
+union all select s.doc_id, s.view, -1, round(ln(0.7) - ln(nv - 2 + 0.7) + {NEW_DATA}, 4)
+from sites s join nv using (view) join sizes z on z.view = s.view and z.cluster = s.home, vs
+where k > 0 and z.ndsum > 1""")
+def _(s, d):
+    cells = brand_cells(s, d)
+    vcells = tokens_of(cells, 2).groupBy("doc_id", "term", F.col("z").cast("long").alias("view")).agg(
+        F.count("*").alias("n"))
+    members = view_members(cells)
+    terms = cl.cluster_terms(vcells, members)
+    return cl.score_soft_clusters(
+        cl.sites_of(members, vcells), vcells, terms, cl.cluster_sizes(members, terms), 0.7, 0.1,
+        0.1 * n_terms(cells)).withColumn("log_weight", F.round("log_weight", 4))
+
+
+MIX = f"""{tokens_sql(3)}, {CLUSTERS}, {V_SUM}, ds as (select count(distinct doc_id) as d from cells),
+sig as (select doc_id, term, count(*) as n from tokens where z = 0 group by all),
+nw as (select cluster, term, sum(n) as nw from sig join members using (doc_id) group by all),
+sizes as (select cluster, count(distinct doc_id) as ndsum, sum(n) as nwsum from sig join members using (doc_id) group by all),
+sites as (select m.doc_id, case when sum(n) > 0 then m.cluster end as home, coalesce(sum(n), 0) as k
+  from members m left join sig using (doc_id) group by m.doc_id, m.cluster),
+len as (select doc_id, sum(n) as n_doc from cells group by doc_id),
+gain as (select t.doc_id, w.cluster, sum(t.n * (ln(nw - t.n * (m.cluster = w.cluster)::int + 0.1) - ln(0.1))) as gain
+  from sig t join members m using (doc_id) join nw w on w.term = t.term
+  where nw - t.n * (m.cluster = w.cluster)::int > 0 group by all),
+old as (select s.doc_id, z.cluster, s.k, n_doc, z.ndsum - coalesce((s.home = z.cluster)::int, 0) as ndsum,
+  z.nwsum - s.k * coalesce((s.home = z.cluster)::int, 0) as nwsum, coalesce(gain, 0) as gain
+  from sites s join len using (doc_id), sizes z left join gain g on g.doc_id = s.doc_id and g.cluster = z.cluster)"""
+MIX_DATA = ("gain + k * (ln(0.1) - ln(0.1 * v + nwsum)) + k * (ln(0.3) - ln(3 * 0.3 + n_doc))")
+
+
+def mix_scores(s, d, prior):
+    cells = brand_cells(s, d)
+    zero = F.lit(0).cast("long")
+    signal = tokens_of(cells, 3).where("z = 0").groupBy("doc_id", "term").agg(
+        F.count("*").alias("n")).withColumn("view", zero)
+    members = cluster_members(cells).withColumn("view", zero)
+    live = members.join(signal.select("doc_id").distinct(), "doc_id", "left_semi")
+    terms = cl.cluster_terms(signal, members)
+    sites = cl.sites_of(members, signal).withColumn("home", F.when(F.col("k") > 0, F.col("home"))).join(
+        corpus.doc_lengths(cells), "doc_id")
+    n_docs = cells.select("doc_id").distinct().count()
+    return cl.score_mixture(sites, signal, terms, cl.cluster_sizes(live, terms), prior, 0.7, 4, 0.3,
+                            0.1, 0.1 * n_terms(cells), n_docs, 2).select(
+        "doc_id", "cluster", F.round("log_weight", 4).alias("log_weight"))
+
+
+@entry("score_mixture_dirichlet", f"""with {MIX} select doc_id, cluster,
+round(ln(0.7 + ndsum) - ln(4 * 0.7 + d) + {MIX_DATA}, 4) as log_weight from old, vs, ds""")
+def _(s, d):
+    return mix_scores(s, d, "dirichlet")
+
+
+@entry("score_mixture_dp", f"""with {MIX} select doc_id, cluster,
+round(ln(ndsum) - ln(d - 1 + 0.7) + {MIX_DATA}, 4) as log_weight from old, vs, ds where ndsum > 0
+union all select doc_id, -1, round(ln(0.7) - ln(d - 1 + 0.7) + k * (ln(0.1) - ln(0.1 * v)), 4) from sites, vs, ds""")
+def _(s, d):
+    return mix_scores(s, d, "dp")
+
+
+@entry("score_mixture_uniform", f"""with {MIX} select doc_id, cluster, round({MIX_DATA}, 4) as log_weight from old, vs, ds""")
+def _(s, d):
+    return mix_scores(s, d, "uniform")
+
+
+FEATURE = f"""{HARD}, norms as (select view, sum(lgamma(0.1 * v) - lgamma(0.1 * v + nwsum)) as norm from sizes, vs group by view),
+feats as (select view, count(*) as f from term_views group by view),
+prop as (select term, view as old_view, {int_sql(2, "'0'", "1", "'target'", "term")} as new_view from term_views
+  where {u_sql("'0'", "1", "'try'", "term")} < 0.8)"""
+
+
+@entry("score_feature_view", f"""with {FEATURE} select t.term, t.view,
+round(norm + sum(lgamma(0.1 + nw) - lgamma(0.1)) + ln(f + 0.5) - ln(v + 2 * 0.5), 3) as log_weight
+from term_views t join norms using (view) join feats using (view) join nw on nw.term = t.term and nw.view = t.view, vs
+group by t.term, t.view, norm, f, v""")
+def _(s, d):
+    cells, vcells, members, terms, sizes = hard_state(s, d)
+    views = term_views_of(cells)
+    feats = views.groupBy("view").agg(F.count("*").alias("features"))
+    v = n_terms(cells)
+    return cl.score_feature_view(views, terms, sizes, feats, 0.1, 0.1 * v, 0.5, v, 2).withColumn(
+        "log_weight", F.round("log_weight", 3))
+
+
+ACCEPT = f"""with {FEATURE}, moved as (select * from prop where old_view <> new_view),
+before as (select t.term, norm + sum(lgamma(0.1 + nw) - lgamma(0.1)) + ln(f + 0.5) as b
+  from moved t join norms n on n.view = old_view join feats f on f.view = old_view
+  join nw on nw.term = t.term and nw.view = old_view group by t.term, norm, f),
+adds as (select t.term, m.view, m.cluster, sum(c.n) as a from moved t join cells c using (term)
+  join members m on m.doc_id = c.doc_id and m.view = t.new_view group by all),
+deltas as (select a.term, sum(lgamma(0.1 + a) - lgamma(0.1) + lgamma(0.1 * v + nwsum) - lgamma(0.1 * v + nwsum + a)) as delta
+  from adds a join sizes s on s.view = a.view and s.cluster = a.cluster, vs group by a.term),
+acc as (select t.term, old_view, new_view, norm + delta + ln(f + 1 + 0.5) - b as r from moved t
+  join before using (term) join deltas using (term) join norms n on n.view = new_view join feats f on f.view = new_view)
+select term, old_view, new_view, round(r, 3) as log_ratio, ln({u_sql("'0'", "1", "'accept'", "term")}) < r as accepted from acc"""
+
+
+@entry("mh_accept_feature", ACCEPT)
+def _(s, d):
+    cells, vcells, members, terms, sizes = hard_state(s, d)
+    views, v = term_views_of(cells), n_terms(cells)
+    tried = cl.propose_views(views, 2, 0.8, 0, 1)
+    return cl.mh_accept_feature(tried, cells, members, terms, sizes, views, 0.1, 0.1 * v, 0.5, v, 2,
+                                0, 1).withColumn("log_ratio", F.round("log_ratio", 3))
+
+
+@entry("score_vmf", """with v as (select vec_id, label, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
+s as (select label, i, sum(x) as m from v group by all), nn as (select label, sqrt(sum(m * m)) as norm from s group by label),
+mu as (select label as cluster, i, m / norm as m from s join nn using (label)),
+size as (select label as cluster, count(*) as size from embeddings group by label),
+dots as (select v.vec_id, any_value(v.label) as home, mu.cluster, sum(x * m) as dot from v join mu using (i) group by v.vec_id, mu.cluster),
+k as (select 20.0 as k, sqrt(1 + pow(20.0 / 31.0, 2)) as root)
+select vec_id, cluster, round(ln(size - (home = cluster)::int) - ln((select count(*) from embeddings) - 1 + 1.0) + 20 * dot
+ + 32 * ln(20 / (2 * pi())) - ln(20) - (-0.5 * ln(2 * pi() * 31.0) + 31.0 * (root + ln(k / 31.0) - ln(1 + root)) - 0.5 * ln(root)), 5) as log_weight
+from dots join size using (cluster), k where size - (home = cluster)::int > 0""")
+def _(s, d):
+    vectors, members, means = vector_state(s, d)
+    return cl.score_vmf(vectors, members, means, 20.0, 1.0, vectors.count(), 64).withColumn(
+        "log_weight", F.round("log_weight", 5))
+
+
+def vector_state(s, d):
+    from latent.functions.mathx import l2_normalize
+    from latent.plans.vmf import cluster_vector_sums
+    e = table(s, d, "embeddings")
+    vectors = e.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    members = e.select("vec_id", F.col("label").cast("long").alias("cluster"))
+    means = cluster_vector_sums(vectors, members).select("cluster", l2_normalize("total").alias("mu"))
+    return vectors, members, means
+
+
+@entry("ll_vmf", """with v as (select vec_id, label, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings),
+s as (select label, i, sum(x) as m from v group by all), nn as (select label, sqrt(sum(m * m)) as norm from s group by label),
+k as (select 20.0 as k, sqrt(1 + pow(20.0 / 31.0, 2)) as root),
+size as (select label, count(*) as n from embeddings group by label),
+t as (select sum(n - 1.5) as s, count(*) as dim from size),
+dp as (select greatest(-300, least(300, max(lgamma(1.5 * dim) - dim * lgamma(1.5)) + sum(0.5 * ln(least(1 - 1e-6, greatest(1e-6, (n - 1.5) / t.s)))))) as dp from size, t)
+select round((select sum(20 * x * m / norm) from v join s using (label, i) join nn using (label))
+ + (select count(*) from embeddings) * (32 * ln(20 / (2 * pi())) - ln(20) - (-0.5 * ln(2 * pi() * 31.0) + 31.0 * (root + ln(k / 31.0) - ln(1 + root)) - 0.5 * ln(root))) + dp, 3) as ll
+from k, dp""")
+def _(s, d):
+    from latent.plans.vmf import ll_vmf
+    vectors, members, means = vector_state(s, d)
+    return s.createDataFrame([(round(ll_vmf(vectors, members, means, 20.0, 64, 1.5), 3),)], "ll double")
+
+
+# -- word clusters -----------------------------------------------------------------------------
+
+WORDS = f"""{SHOP}, eta as (select feature, 0.1 * pow(0.5, avg(n)) as eta from features group by feature),
+es as (select sum(eta) as es from eta),
+uses as (select term, cluster, count(*) as uses from tokens group by all),
+cf as (select cluster, feature, sum(uses * n) as nw from uses join features on word = term group by all),
+ct as (select cluster, sum(nw) as nwsum from cf group by all),
+spots as (select distinct term, z, cluster as own from tokens),
+cand as (select s.term, s.z, s.own, c.cluster from spots s, (select distinct cluster from tokens) c),
+fp as (select a.term, a.z, a.own, a.cluster,
+  sum(ln(eta + coalesce(nw, 0) - (a.cluster = a.own)::int * n)) - count(*) * ln(any_value(es) + any_value(nwsum)
+   - (any_value(a.cluster) = any_value(a.own))::int * sum(n)) as fp
+  from cand a join features f on f.word = a.term join eta using (feature) join ct on ct.cluster = a.cluster
+  left join cf on cf.cluster = a.cluster and cf.feature = f.feature, es group by all),
+tw as (select z, cluster, count(*) as nw from tokens group by all),
+tt as (select z, count(*) as n from tokens group by z)"""
+
+
+@entry("score_word_clusters", f"""with {WORDS} select fp.term, fp.z, fp.own, fp.cluster,
+round(ln(0.2 + coalesce(tw.nw, 0) - (fp.cluster = fp.own)::int) - ln(0.2 * 6 + tt.n - 1) + fp, 5) as log_weight
+from fp join tt on tt.z = fp.z left join tw on tw.z = fp.z and tw.cluster = fp.cluster""")
+def _(s, d):
+    f = part_features(s, d)
+    clusters = s.range(6).select(F.lit("").alias("type"), F.col("id").cast("int").alias("cluster"))
+    return features.score_word_clusters(shop_tokens(s, d), f, clusters,
+                                        corpus.rank_eta_prior(f, 0.1, 0.5), 0.2).withColumn(
+        "log_weight", F.round("log_weight", 5))
+
+
+# -- likelihoods -----------------------------------------------------------------------------------
+
+LL_SLOTS = f"""{V_SUM},
+placed as (select t.*, node_id, alpha from tokens t join slots s on s.doc_id = t.doc_id and s.slot = t.z),
+nw as (select node_id, term, count(*) as nw from placed group by all),
+tot as (select node_id, count(*) as nwsum from placed group by all),
+nd as (select doc_id, z, count(*) as nd from placed group by all),
+len as (select doc_id, count(*) as n_doc from placed group by all),
+per as (select doc_id, sum(alpha) as alpha_sum, count(*) as t from slots group by all),
+full_tokens as (select p.*, nw, nwsum, nd, n_doc, alpha_sum, t, v from placed p join nw using (node_id, term)
+  join tot using (node_id) join nd using (doc_id, z) join len using (doc_id) join per using (doc_id), vs)"""
+WORD_LL = "ln(nw + 0.1) - ln(nwsum + 0.1 * v)"
+
+
+@entry("ll_flat", f"""with {tokens_sql(10, CELLS)}, {flat_slots(10, 0.1)}, {LL_SLOTS}
+select round(sum({WORD_LL} + ln(nd + alpha) - ln(n_doc + alpha_sum)), 2) as ll from full_tokens""")
+def _(s, d):
+    cells = doc_cells(s, d)
+    return likelihood.ll_flat(tokens_of(cells, 10), 10, 0.1, 0.1, n_terms(cells)).select(
+        F.round("ll", 2).alias("ll"))
+
+
+EDGE_LL = """edge_ll as (select sum(ln(c.nds) - ln(p.nds + 1.5 - 1)) as e from
+  (select node_id, parent_id, count(*) as nds from paths group by all) c
+  join (select node_id, count(*) as nds from paths group by all) p on p.node_id = c.parent_id)"""
+
+
+@entry("ll_tree", f"""with {tokens_sql(3)}, {PATH_SLOTS}, {LL_SLOTS}, {EDGE_LL}
+select round(sum({WORD_LL} + ln(nd + alpha) - ln(n_doc + alpha_sum)) + any_value(e), 2) as ll from full_tokens, edge_ll""")
+def _(s, d):
+    cells = brand_cells(s, d)
+    return likelihood.ll_tree(tokens_of(cells, 3), paths_of(cells), 0.1, 0.1, 0.1 * n_terms(cells),
+                              1.5).select(F.round("ll", 2).alias("ll"))
+
+
+@entry("ll_gem", f"""with {tokens_sql(3)}, {PATH_SLOTS}, {V_SUM}, {EDGE_LL},
+placed as (select t.*, node_id from tokens t join slots s on s.doc_id = t.doc_id and s.slot = t.z),
+nw as (select node_id, term, count(*) as nw from placed group by all),
+tot as (select node_id, count(*) as nwsum from placed group by all),
+nd as (select s.doc_id, s.slot, count(t.z) as n from slots s left join tokens t on t.doc_id = s.doc_id and t.z = s.slot group by all),
+below as (select *, sum(n) over (partition by doc_id order by slot desc) as a from nd),
+steps as (select *, coalesce(ln((0.5 * 10 + a) / (10 + lag(a) over (partition by doc_id order by slot))), 0) as step from below),
+lp as (select *, ln(5 + n) - ln(10 + a) + sum(step) over (partition by doc_id order by slot rows unbounded preceding) as lp from steps)
+select round((select sum(ln(nw + 0.1) - ln(nwsum + 0.1 * v)) from placed join nw using (node_id, term) join tot using (node_id), vs)
+ + (select sum(n * lp) from lp) + e, 2) as ll from edge_ll""")
+def _(s, d):
+    cells = brand_cells(s, d)
+    return likelihood.ll_gem(tokens_of(cells, 3), paths_of(cells), 0.5, 10.0, 0.1,
+                             0.1 * n_terms(cells), 1.5).select(F.round("ll", 2).alias("ll"))
+
+
+@entry("ll_labeled", f"""with {LABEL_TOKENS}, {LL_SLOTS}
+select round(sum(case when node_id like 'REJECT%' then -ln(v) else {WORD_LL} end
+ + ln(nd + alpha / t) - ln(n_doc + alpha)), 2) as ll from full_tokens""")
+def _(s, d):
+    cells, tokens, slots = label_state(s, d)
+    v = n_terms(cells)
+    return likelihood.ll_labeled(tokens, slots, 0.1, 0.1 * v, v).select(F.round("ll", 2).alias("ll"))
+
+
+@entry("ll_crosscat", f"""with {HARD}, feats as (select view, count(*) as f from term_views group by view)
+select round((select sum(lgamma(0.1 + nw) - lgamma(0.1)) from nw)
+ + (select sum(lgamma(0.1 * v) - lgamma(0.1 * v + nwsum) + ln(ndsum) - ln(d - 1 + 0.7)) from sizes, vs, ds)
+ + (select sum(ln(f + 0.5) - ln(v + 2 * 0.5)) from feats, vs), 2) as ll""")
+def _(s, d):
+    cells, vcells, members, terms, sizes = hard_state(s, d)
+    n_docs, v = cells.select("doc_id").distinct().count(), n_terms(cells)
+    return likelihood.ll_crosscat(cells, members, term_views_of(cells), 0.7, 0.1, 0.1 * v, n_docs, v,
+                                  0.5, 2).select(F.round("ll", 2).alias("ll"))
+
+
+@entry("ll_clustered", f"""with {WORDS}, nd as (select doc_id, z, count(*) as nd from tokens group by all),
+len as (select doc_id, count(*) as n_doc from tokens group by all)
+select round((select sum(ln(nw + 0.2) - ln(tt.n + 0.2 * 6) + ln(nd + 0.1) - ln(n_doc + 5 * 0.1)) from tokens
+   join tw using (z, cluster) join tt using (z) join nd using (doc_id, z) join len using (doc_id))
+ + (select sum(ln(nw + eta) - ln(nwsum + es)) from tokens t join features f on f.word = t.term
+   join cf on cf.cluster = t.cluster and cf.feature = f.feature join ct on ct.cluster = t.cluster
+   join eta on eta.feature = f.feature, es), 2) as ll""")
+def _(s, d):
+    f = part_features(s, d)
+    eta = corpus.rank_eta_prior(f, 0.1, 0.5)
+    return likelihood.ll_clustered(shop_tokens(s, d), f, 5, 0.1, 0.2, 1.2, eta,
+                                   eta.agg(F.sum("eta")).first()[0]).select(F.round("ll", 2).alias("ll"))
+
+
+LL_MIX = f"""with {tokens_sql(3)}, {NOISE_SLOTS.replace('0.1::double', '0.3::double')}, {LL_SLOTS},
+live as (select cluster, count(distinct doc_id) as ndsum from tokens join members using (doc_id) where z = 0 group by cluster),
+ds as (select count(*) as d from members)
+select round((select sum({WORD_LL} + ln(nd + alpha) - ln(n_doc + alpha_sum)) from full_tokens)
+ + (select sum({{prior}}) from members join live using (cluster), ds), 2) as ll"""
+
+
+def mix_ll(s, d, prior):
+    cells = brand_cells(s, d)
+    n_docs = cells.select("doc_id").distinct().count()
+    return likelihood.ll_mixture(tokens_of(cells, 3), cluster_members(cells), prior, 0.7, 4, 0.3, 0.1,
+                                 0.1 * n_terms(cells), n_docs, 2).select(F.round("ll", 2).alias("ll"))
+
+
+@entry("ll_mixture_dirichlet", LL_MIX.format(prior="ln(ndsum + 0.7) - ln(d + 4 * 0.7)"))
+def _(s, d):
+    return mix_ll(s, d, "dirichlet")
+
+
+@entry("ll_mixture_dp", LL_MIX.format(prior="ln(ndsum) - ln(d - 1 + 0.7)"))
+def _(s, d):
+    return mix_ll(s, d, "dp")
+
+
+# -- hierarchies ------------------------------------------------------------------------------------
+
+CLOSURE = """walk(node, ancestor, distance) as (
+  select node, node, 0 from (select child as node from edges union select parent from edges)
+  union select w.node, e.parent, w.distance + 1 from walk w join edges e on e.child = w.ancestor)"""
+
+
+@entry("ancestors", f"with recursive {DAG}, {CLOSURE} select node, ancestor, min(distance) as distance from walk group by all")
+def _(s, d):
+    return structure.ancestors(source_edges(s, d))
+
+
+@entry("ancestor_topics", f"""with recursive {DAG}, {CLOSURE} select distinct doc_id, ancestor as topic
+from documents join walk on node = source""")
+def _(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("node"))
+    return structure.ancestor_topics(docs, source_edges(s, d))
+
+
+@entry("ancestor_topics_nations", f"""with recursive {EDGES}, {CLOSURE} select distinct c_custkey as doc_id, ancestor as topic
+from customer join nation on n_nationkey = c_nationkey join walk on node = n_name""")
+def _(s, d):
+    docs = table(s, d, "customer").join(table(s, d, "nation"), F.col("n_nationkey") == F.col(
+        "c_nationkey")).select(F.col("c_custkey").alias("doc_id"), F.col("n_name").alias("node"))
+    return structure.ancestor_topics(docs, nation_edges(s, d))
+
+
+@entry("root_paths", f"""with recursive {DAG}, up(node, last, path) as (
+  select node, node, node from (select child as node from edges union select parent from edges)
+  union all select u.node, e.parent, u.path || '>' || e.parent from up u join edges e on e.child = u.last)
+select node, path from up where last not in (select child from edges)""")
+def _(s, d):
+    return structure.root_paths(source_edges(s, d)).select("node", F.array_join("path", ">").alias("path"))
+
+
+SENSES = f"""{DAG}, {CLOSURE},
+direct as (select doc_id, source as node, parent, row_number() over (partition by doc_id order by parent) - 1 as sense
+  from documents join edges on child = source),
+sn as (select doc_id, sense, node as node_id, 0 as distance from direct
+  union all select doc_id, sense, ancestor, min(w.distance) + 1 from direct d join walk w on w.node = d.parent group by all),
+senses as (select doc_id, sense, node_id, row_number() over (partition by doc_id, sense order by distance desc, node_id) - 1 as level from sn)"""
+
+
+def document_senses(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("node"))
+    return structure.sense_paths(docs, source_edges(s, d))
+
+
+@entry("sense_paths", f"with recursive {SENSES} select doc_id, sense, node_id, level, 0.0 as log_freq from senses")
+def _(s, d):
+    return document_senses(s, d)
+
+
+@entry("score_senses", f"""with recursive {CELLS}, {SENSES}, {V_SUM},
+nt as (select node_id, term, sum(n) as nw from senses join cells using (doc_id) where sense = 0 group by all),
+tot as (select node_id, sum(nw) as nwsum from nt group by all)
+select doc_id, sense, round(sum(n * (lgamma(coalesce(nw, 0) + 0.1) - lgamma(coalesce(nwsum, 0) + 0.1 * v))), 1) as log_weight
+from senses s join cells c using (doc_id) left join nt on nt.node_id = s.node_id and nt.term = c.term
+left join tot on tot.node_id = s.node_id, vs group by all""")
+def _(s, d):
+    cells, senses = doc_cells(s, d), document_senses(s, d)
+    nt = senses.where("sense = 0").join(cells, "doc_id").groupBy("node_id", "term").agg(
+        F.sum("n").alias("n"))
+    return structure.score_senses(cells, senses, nt, 0.1, 0.1 * n_terms(cells)).withColumn(
+        "log_weight", F.round("log_weight", 1))
+
+
+# -- summaries ---------------------------------------------------------------------------------------
+
+def top_sql(key: str, source: str) -> str:
+    return f"""tops as (select {key}, string_agg(term, ' ' order by n desc, term) as top from (
+  select *, row_number() over (partition by {key} order by n desc, term) as r from {source}) where r <= 10 group by all)"""
+
+
+@entry("tree_summary", f"""with {tokens_sql(3)}, {PATHS},
+nt as (select node_id, term, count(*) as n from tokens t join paths p on p.doc_id = t.doc_id and p.level = t.z group by all),
+{top_sql('node_id', 'nt')}
+select p.node_id, level, count(*) as docs, coalesce((select sum(n) from nt where nt.node_id = p.node_id), 0) as tokens, any_value(top) as top
+from paths p left join tops using (node_id) group by p.node_id, level""")
+def _(s, d):
+    cells = brand_cells(s, d)
+    return summary.tree_summary(tokens_of(cells, 3), paths_of(cells))
+
+
+@entry("view_summary", f"""with {CELLS}, {VIEWS},
+vt as (select view, term, sum(n) as n from cells join term_views using (term) group by all), {top_sql('view', 'vt')}
+select view, count(*) as features, sum(n) as tokens, any_value(top) as top from vt join tops using (view) group by view""")
+def _(s, d):
+    cells = doc_cells(s, d)
+    return summary.view_summary(cl.view_cells(cells, term_views_of(cells)))
+
+
+@entry("cluster_summary", f"""with {HARD}, kt as (select view, cluster, term, nw as n from nw), {top_sql('view, cluster', 'kt')}
+select m.view, m.cluster, count(distinct m.doc_id) as size, count(distinct h.doc_id) as nonzero_docs,
+coalesce(sum(h.n), 0) as tokens, any_value(top) as top
+from members m left join held h on h.doc_id = m.doc_id and h.view = m.view
+left join tops t on t.view = m.view and t.cluster = m.cluster group by m.view, m.cluster""")
+def _(s, d):
+    cells, vcells, members, _, _ = hard_state(s, d)
+    return summary.cluster_summary(members, vcells)
+
+
+@entry("noise_summary", f"""with {tokens_sql(4, CELLS)}, zt as (select z, term, count(*) as n from tokens group by all), {top_sql('z', 'zt')}
+select z, sum(n) as tokens, (select count(*) from tokens) as all_tokens, any_value(top) as top
+from zt join tops using (z) where z > 0 group by z""")
+def _(s, d):
+    return summary.noise_summary(tokens_of(doc_cells(s, d), 4))
+
+
+SAMPLES = f"""{tokens_sql(6, CELLS)}, st as (select doc_id % 3 as chain_id, pos % 4 as iter, cast(z as varchar) as node_id, doc_id, term from tokens),
+snt as (select chain_id, iter, node_id, term, count(*) as n from st group by all),
+q as (select *, sum(n) over (partition by chain_id, iter, node_id) as s from snt)"""
+
+
+def sample_tables(s, d):
+    t = tokens_of(doc_cells(s, d), 6).select(
+        (F.col("doc_id") % 3).alias("chain_id"), (F.col("pos") % 4).alias("iter"),
+        F.col("z").cast("string").alias("node_id"), "doc_id", "term")
+    key = ["chain_id", "iter", "node_id"]
+    return (t.groupBy(*key, "term").agg(F.count("*").alias("n")),
+            t.groupBy(*key, "doc_id").agg(F.count("*").alias("n")))
+
+
+@entry("sample_distributions", f"""with {SAMPLES} select chain_id, node_id, term, sum(n) as n from q
+where n / s > 0.0002 group by all""")
+def _(s, d):
+    return summary.sample_distributions(*sample_tables(s, d), tol=0.0002)[0]
+
+
+@entry("sample_distributions_docs", f"with {SAMPLES} select chain_id, node_id, doc_id, count(*) as n from st group by all")
+def _(s, d):
+    return summary.sample_distributions(*sample_tables(s, d))[1]
+
+
+@entry("quantize", f"""with {SAMPLES}, n as (select node_id, term, sum(n) as n from snt group by all),
+w as (select *, sum(n) over (partition by node_id) as s from n)
+select node_id, term, n from w where n / s > 0.0005 or s < 100""")
+def _(s, d):
+    nt = sample_tables(s, d)[0].groupBy("node_id", "term").agg(F.sum("n").alias("n"))
+    return summary.quantize(nt, 0.0005, keep_small=100)
+
+
+@entry("skip_noise", """select doc_id, topic from (select doc_id, source as topic from documents
+union all select doc_id, 'NOISE_' || lang from documents) where topic not like 'NOISE%'""")
+def _(s, d):
+    t = table(s, d, "documents")
+    rows = t.select("doc_id", F.explode(F.array("source", F.concat(F.lit("NOISE_"), "lang"))).alias("topic"))
+    return summary.skip_noise(rows, "topic")
+
+
+@entry("parents_of_nodes", f"""with {DAG} select child as node_id, string_agg(distinct parent, ' ' order by parent) as parents
+from edges group by child""")
+def _(s, d):
+    e = source_edges(s, d).select(F.col("child").alias("child_id"), F.col("parent").alias("parent_id"))
+    return summary.parents_of_nodes(e).withColumn("parents", F.array_join("parents", " "))
+
+
+@entry("node_summary", f"""with {BRANDS}, {PATHS}, tok as (select doc_id, term, n from cells),
+nt as (select node_id, term, sum(n) as n from tok join paths using (doc_id) group by all),
+tops as (select node_id, string_agg(term, ' ' order by n desc, term) as top from (
+  select *, row_number() over (partition by node_id order by n desc, term) as r from nt) where r <= 5 group by all)
+select node_id, any_value(parent_id) as parents, any_value(top) as top from paths join tops using (node_id) group by node_id""")
+def _(s, d):
+    cells = brand_cells(s, d)
+    tree = paths_of(cells)
+    nt = cells.join(tree, "doc_id").groupBy("node_id", "term").agg(F.sum("n").alias("n"))
+    edges = tree.where("parent_id is not null").select(F.col("node_id").alias("child_id"), "parent_id")
+    return summary.node_summary(nt, edges)
+
+
+SMOOTH = f"""{LABEL_TOKENS}, {V_SUM}, lt as (select doc_id, slot, node_id from slots),
+nt as (select node_id, term, count(*) as n from tokens t join slots s on s.doc_id = t.doc_id and s.slot = t.z group by all),
+wsum as (select node_id, sum(n) as wsum from nt group by all),
+nd as (select t.doc_id, node_id, count(*) as n from tokens t join slots s on s.doc_id = t.doc_id and s.slot = t.z group by all)"""
+
+
+def label_dists(s, d):
+    cells, tokens, slots = label_state(s, d)
+    placed = levels.located(tokens, slots)
+    return (cells, slots.select("doc_id", "node_id"), counts.node_term_counts(placed),
+            counts.node_doc_counts(placed))
+
+
+@entry("smoothed_terms", f"""with {SMOOTH}, w as (select l.doc_id, l.node_id,
+  (coalesce(n, 0) + 0.1) / (sum(coalesce(n, 0)) over (partition by l.doc_id) + 0.1 * count(*) over (partition by l.doc_id)) as p
+  from lt l left join nd on nd.doc_id = l.doc_id and nd.node_id = l.node_id)
+select doc_id, term, round(ln(sum(p * (n + 0.05) / (wsum + 0.05 * v))), 5) as log_p
+from w join nt using (node_id) join wsum using (node_id), vs group by doc_id, term""")
+def _(s, d):
+    cells, lists, nt, nd = label_dists(s, d)
+    return summary.smoothed_terms(lists, nd, nt, n_terms(cells), 0.1, 0.05).withColumn(
+        "log_p", F.round("log_p", 5))
+
+
+@entry("smoothed_terms_observed", f"""with {SMOOTH}, w as (select doc_id, node_id,
+  (n + 0.1) / (sum(n) over (partition by doc_id) + 0.1 * 7) as p from nd)
+select doc_id, term, round(ln(sum(p * (n + 0.05) / (wsum + 0.05 * 30))), 5) as log_p
+from w join nt using (node_id) join wsum using (node_id) group by doc_id, term""")
+def _(s, d):
+    _, _, nt, nd = label_dists(s, d)
+    return summary.smoothed_terms_observed(nd, nt, 30, 7, 0.1, 0.05).withColumn(
+        "log_p", F.round("log_p", 5))
