@@ -11,6 +11,7 @@ from catalog.fixtures import (BRANDS, CELLS, CLUSTERS, DAG, EDGES, LABELS, PATHS
                               tokens_sql, u_sql, view_members)
 from latent.operators import clusters as cl
 from latent.operators import corpus, counts, features, levels, likelihood, paths, structure, summary
+from latent.session import Workspace
 
 Q: dict = {}
 SQL: dict = {}
@@ -370,9 +371,11 @@ MIX_DATA = ("gain + k * (ln(0.1) - ln(0.1 * v + nwsum)) + k * (ln(0.3) - ln(3 *
 def mix_scores(s, d, prior):
     cells = brand_cells(s, d)
     zero = F.lit(0).cast("long")
-    signal = tokens_of(cells, 3).where("z = 0").groupBy("doc_id", "term").agg(
-        F.count("*").alias("n")).withColumn("view", zero)
-    members = cluster_members(cells).withColumn("view", zero)
+    # Stored, so that the single view stays a join key and is not folded away.
+    ws = Workspace(s)
+    signal = ws.cut(tokens_of(cells, 3).where("z = 0").groupBy("doc_id", "term").agg(
+        F.count("*").alias("n")).withColumn("view", zero), "signal")
+    members = ws.cut(cluster_members(cells).withColumn("view", zero), "members")
     live = members.join(signal.select("doc_id").distinct(), "doc_id", "left_semi")
     terms = cl.cluster_terms(signal, members)
     sites = cl.sites_of(members, signal).withColumn("home", F.when(F.col("k") > 0, F.col("home"))).join(

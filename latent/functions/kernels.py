@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
 from latent.functions.sites import draw_rows, draw_segments, flat, numbers
@@ -100,5 +99,3 @@ def log_draw():
                                       numbers(u)))
     return draw
 
-
-__all__ = ["flat_draw", "list_draw", "log_draw", "stick_weights", "Column"]

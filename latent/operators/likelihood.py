@@ -46,7 +46,10 @@ def _slot_counts(tokens: DataFrame, slots: DataFrame):
     return word, doc
 
 
-def _word_terms(word: DataFrame, eta: float, eta_sum: float) -> DataFrame:
+def _word_terms(word: DataFrame, eta: float, eta_sum: float,
+                eta_table: DataFrame | None = None) -> DataFrame:
+    if eta_table is not None:
+        word, eta = word.join(eta_table, "term"), F.col("eta")
     topic = word.groupBy("node_id").agg(F.sum("n").alias("nwsum"),
                                         F.sum(F.col("n") * F.ln(F.col("n") + eta)).alias("s"))
     return topic.select((F.col("s") - F.col("nwsum") * F.ln(F.col("nwsum") + eta_sum)).alias("x"))
@@ -83,12 +86,15 @@ def ll_gem(tokens: DataFrame, paths: DataFrame, m: float, pi: float, eta: float,
 
 
 def ll_labeled(tokens: DataFrame, doc_topics: DataFrame, eta: float, eta_sum: float,
-               n_terms: int) -> DataFrame:
-    """Word term (−ln V under REJECT) plus ln(nd + α/T) − ln(N_d + α), T the list length."""
+               n_terms: int, eta_table: DataFrame | None = None) -> DataFrame:
+    """Word term (−ln V under REJECT) plus ln(nd + α/T) − ln(N_d + α), T the list length.
+
+    ``eta_table(term, eta)`` replaces the common prior by one per term.
+    """
     placed = located(tokens, doc_topics)
     word = placed.groupBy("node_id", "term").agg(F.count("*").alias("n"))
     is_reject = F.col("node_id").startswith("REJECT")
-    kept = _word_terms(word.where(~is_reject), eta, eta_sum)
+    kept = _word_terms(word.where(~is_reject), eta, eta_sum, eta_table)
     rejected = word.where(is_reject).select((-F.col("n") * F.ln(F.lit(float(n_terms)))).alias("x"))
     nd = placed.groupBy("doc_id", F.col("z").alias("slot")).agg(F.count("*").alias("nd"))
     lists = doc_topics.groupBy("doc_id").agg(F.count("*").alias("t"))

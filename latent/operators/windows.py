@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+# Fixed values: (acceptance rate, factor); the first band that applies wins.
+TOO_LOW = ((0.001, 0.1), (0.05, 0.5), (0.2, 0.9))
+TOO_HIGH = ((0.95, 10.0), (0.75, 2.0), (0.5, 1.1))
+
+
 def top_terms(node_terms: DataFrame, k: int = 10, node: str = "node_id") -> DataFrame:
     """The k heaviest terms per node; equal counts rank by term."""
     order = Window.partitionBy(node).orderBy(F.desc("n"), "term")
@@ -86,11 +91,13 @@ def select_samples(samples: DataFrame, mode: str, keep: int = 20) -> DataFrame:
 
 def tune_proposal(scale, accept_rate) -> Column:
     """Rescale a random-walk step by its acceptance band; steps start no larger than 10000."""
-    s = F.least(scale, F.lit(10000.0))
-    a = accept_rate
-    return (F.when(a < 0.001, s * 0.1).when(a < 0.05, s * 0.5).when(a < 0.2, s * 0.9)
-            .when(a > 0.95, s * 10.0).when(a > 0.75, s * 2.0).when(a > 0.5, s * 1.1)
-            .otherwise(s))
+    step = F.least(scale, F.lit(10000.0))
+    factor = F.lit(1.0)
+    for bound, f in reversed(TOO_LOW):
+        factor = F.when(accept_rate < bound, F.lit(f)).otherwise(factor)
+    for bound, f in reversed(TOO_HIGH):
+        factor = F.when(accept_rate > bound, F.lit(f)).otherwise(factor)
+    return step * factor
 
 
 def move_rates(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -97,7 +97,7 @@ class LabeledLDA(TokenModel):
 
     def log_likelihood(self, state: State) -> float:
         return ll_labeled(whole(state["tokens"]), self.slots, self.eta, self.eta_sum,
-                          self.corpus.n_terms).first()[0]
+                          self.corpus.n_terms, self.eta_table).first()[0]
 
     def tables(self, state: State):
         return {**super().tables(state), "doc_topics": self.slots}

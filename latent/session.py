@@ -78,12 +78,3 @@ class Workspace:
         target = jvm.org.apache.hadoop.fs.Path(path)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         target.getFileSystem(conf).delete(target, True)
-
-
-# A table of this many narrow rows stays near 10 MB, Spark's own broadcast limit.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` when its counted size allows; else leave the join to shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
