@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import bpe, decontaminate, simhash, toxicity
+from latent.llm import bpe, decontaminate, shard, simhash, sketch, toxicity
 from latent.llm.common import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,16 @@ def op1(spark, sf_dir):
         F.size("offending").alias("n_offending"))
 
 
+@query("op4_sketch")
+def op4(spark, sf_dir):
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_shard")
+def op7(spark, sf_dir):
+    return shard.shards(table(spark, sf_dir, "documents"))
+
+
 @query("op8_decontaminate", r"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w
            from documents),
