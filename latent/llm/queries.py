@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import bpe, decontaminate, shard, simhash, sketch, toxicity
+from latent.llm import bpe, decontaminate, shard, simhash, sketch, toxicity, warc
 from latent.llm.common import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,26 @@ def op4(spark, sf_dir):
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
 
+BASE32 = """array_to_string([
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768) % 32 + 1, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024) % 32 + 1, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32) % 32 + 1, 1)
+  || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1)
+  for v in [cast('0x' || substr(x, 5 * i + 1, 5) as bigint) for i in range(0, 8)]], '')"""
+
+
+@query("op5_warc", f"""
+with d as (select page_id, url, strlen(coalesce(html, '')) as b, sha1(coalesce(html, '')) as x
+           from pages),
+f as (select x, min(page_id) as m from d group by x)
+select page_id, url, b as payload_bytes, {BASE32} as payload_digest,
+       case when page_id = m then 'response' else 'revisit' end as record_type,
+       case when page_id <> m then m end as refers_to
+from d join f using (x)""")
+def op5(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op7_shard")
 def op7(spark, sf_dir):
     return shard.shards(table(spark, sf_dir, "documents"))
