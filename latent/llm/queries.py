@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import bpe, decontaminate, shard, simhash, sketch, toxicity, warc
+from latent.llm import bpe, decontaminate, html, shard, simhash, sketch, toxicity, warc
 from latent.llm.common import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1(spark, sf_dir):
         F.size("offending").alias("n_offending"))
 
 
+@query("op2_html")
+def op2(spark, sf_dir):
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op4_sketch")
 def op4(spark, sf_dir):
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
