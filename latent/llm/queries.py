@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import bpe, decontaminate, html, shard, simhash, sketch, toxicity, warc
+from latent.llm import bpe, decontaminate, html, licences, shard, simhash, sketch, toxicity, warc
 from latent.llm.common import table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op5(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op6_licences")
+def op6(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op7_shard")
 def op7(spark, sf_dir):
     return shard.shards(table(spark, sf_dir, "documents"))
