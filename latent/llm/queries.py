@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import bpe, decontaminate, html, licences, shard, simhash, sketch, toxicity, warc
-from latent.llm.common import table
+from latent.llm import bpe, decontaminate, html, licences, lm, shard, simhash, sketch, toxicity, warc
+from latent.llm.common import fold_of, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op2(spark, sf_dir):
     return html.main_texts(table(spark, sf_dir, "pages"))
 
 
+@query("op3_lm")
+def op3(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"), fold_of("doc_id", 10) == 0, byte_bpe_path())
+
+
 @query("op4_sketch")
 def op4(spark, sf_dir):
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
