@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,6 +30,17 @@ def fold_of(doc_id: Column | str, n: int) -> Column:
     return F.crc32(text.cast("binary")) % n
 
 
+def sample_of(rows: DataFrame, key: list[str], n: int) -> list[Row]:
+    """At most ``n`` rows, those of the smallest hashes of ``key``. The hashes are chosen first,
+    so each task sends ``n`` numbers and only rows of the sample reach the driver."""
+    hashed = rows.withColumn("_hash", F.xxhash64(*key))
+    least = [r[0] for r in hashed.select("_hash").orderBy("_hash").limit(n).collect()]
+    if not least:
+        return []
+    taken = hashed.where(F.col("_hash") <= least[-1]).limit(n).collect()
+    return sorted(taken, key=lambda r: r["_hash"])
+
+
 def words_of(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, in UTF-8."""
     return text.encode().lower().split()
