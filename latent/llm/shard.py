@@ -84,7 +84,7 @@ def shards(docs: DataFrame, n: int = 16) -> DataFrame:
     split = {g for g, b in large if b > total / n}
     inner = F.lit(False)
     for cut in cuts:
-        inner = inner | ((F.col("start") < cut) & (F.col("end") > cut))
+        inner = inner | ((F.col("start") < cut) & (F.col("end") >= cut))
     hit = [r[0] for r in placed.where("home IS NULL").where(inner).select("group").distinct().collect()]
     spans = (placed.where("home IS NULL").where(F.col("group").isin(hit)).groupBy("group")
              .agg(F.min("start"), F.max("end")).collect()) if hit else []
