@@ -274,6 +274,7 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     single = docs.join(drop, match(drop), "left_anti")
     if again.isEmpty():
         return single
-    repeated = docs.join(again, match(again), "left_semi").withColumn("_hash", key)
-    once = repeated.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    name = "_" * max(map(len, docs.columns)) + "_hash"  # no column is called so
+    repeated = docs.join(again, match(again), "left_semi").withColumn(name, key)
+    once = repeated.dropDuplicates(["doc_id", name]).drop(name)
     return single.join(again, match(again), "left_anti").unionByName(once)

@@ -23,7 +23,7 @@ def check(docs, n=16):
 def test_balance_and_whole_groups(spark, odd, none):
     check(odd)
     found = {i: prose(i % 700, 20 + i % 50) for i in range(2000)}
-    found |= {5000 + i: prose(9999, 60) for i in range(250)}  # 0.8 of a shard
+    found |= {5000 + i: prose(9999, 60) for i in range(90)}  # 0.8 of a shard
     sizes, homes = check(rows_of(spark, found))
     assert max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16
     assert all(len(h) == 1 for h in homes.values())
