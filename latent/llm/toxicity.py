@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -134,9 +135,11 @@ def _ratio(yes: int, no: int, without: int, within: int) -> float:
                ((yes, part, share), (no, 1 - part, 1 - share)) if n)
 
 
-def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) -> Model:
+def fit(texts: Iterable, toxic: list[int], settings: Settings = Settings()) -> Model:
     """Maximum likelihood of the document labels by gradient ascent with momentum (Adam)."""
-    bags = [[sorted(set(w)) for _, _, w in sentences(t) if w] or [[]] for t in texts]
+    pool: dict[str, str] = {}  # one object for each word, however often it occurs
+    bags = [[sorted({pool.setdefault(x, x) for x in w}) for _, _, w in sentences(str(t)) if w] or [[]]
+            for t in texts]
     kept = telling_features(bags, toxic, settings.evidence)
     if not kept:
         return Model(settings.bias, {}, (sum(toxic) + 0.5) / (len(toxic) + 1))
@@ -172,8 +175,8 @@ def fit(texts: list[str], toxic: list[int], settings: Settings = Settings()) ->
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
           learn=None) -> Model:
-    rows = training_rows(docs, labels, settings, learn).collect()
-    return fit([r.text for r in rows], [r.toxic for r in rows], settings)
+    rows = training_rows(docs, labels, settings, learn).toArrow()
+    return fit(rows.column("text"), rows.column("toxic").to_pylist(), settings)
 
 
 def score(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
