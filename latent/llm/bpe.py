@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes with one byte-level vocabulary file; one per task.
+    """Encodes and decodes with one byte-level vocabulary file.
 
     Plain texts take a table of merge ranks made from the same file, which costs a third of
     the time; texts with other characters or special tokens go to the library itself.
@@ -80,6 +81,16 @@ class Codec:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.id_of[np.array(self.plain.encode_ordinary(text), np.int64)]
 
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of many short texts."""
+        whole = "\n".join(words)
+        if not PLAIN.fullmatch(whole) or any(s in whole for s in self.special):
+            return [self.encode(w) for w in words]
+        coded = list(map(self.plain.encode_ordinary, words))
+        ids = self.id_of[np.fromiter((i for c in coded for i in c), np.int64)]
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        return np.split(ids, ends[:-1]) if len(coded) else []
+
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
         return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -129,6 +140,12 @@ class Codec:
                 hashlib.sha256(self.decode(ids).encode()).hexdigest())
 
 
+@lru_cache(2)
+def codec_of(path: str) -> Codec:
+    """The codec of a file; a Python worker keeps it for all its tasks."""
+    return Codec(path)
+
+
 def halves(text: str, leaf_chars: int) -> list[str]:
     """The leaves of a text that is halved until none is longer than ``leaf_chars``."""
     n = 1
@@ -154,7 +171,7 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = 32_768, keep_ids: bool
         return out | ({"ids": [c.tolist() for c in coded]} if keep_ids else {})
 
     def at_once():
-        codec = Codec(path)
+        codec = codec_of(path)
         return lambda batch: columns(codec, batch.column(0), [
             codec.encode(t) for t in batch.column(1).to_pylist()])
 
@@ -171,7 +188,7 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = 32_768, keep_ids: bool
                             range(at, at + len(some)), pa.int32()), "text": some})
 
     def leaves():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def step(batch):
             return {"key": batch.column(0), "leaf": batch.column(1), "text": batch.column(2),
@@ -179,8 +196,7 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = 32_768, keep_ids: bool
         return step
 
     def rejoin(group: pa.Table) -> pa.Table:
-        codec = Codec.__dict__.get("_here") or Codec(path)
-        Codec._here = codec  # a worker joins many texts with one vocabulary
+        codec = codec_of(path)
         group = group.sort_by("leaf")
         parts = [(t.encode(), np.frombuffer(i, "<u4")) for t, i in zip(
             group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True)]
