@@ -22,11 +22,16 @@ def _own(z: np.ndarray, k: int) -> np.ndarray:
 
 
 def stick_weights(nd: np.ndarray, m: float, pi: float) -> np.ndarray:
-    """Two-parameter stick-breaking weight of each level given a document's level counts."""
+    """Two-parameter stick-breaking weight of each level given a document's level counts.
+
+    The last level takes what the stick has left, so the weights add up to one.
+    """
     below = np.cumsum(nd[:, ::-1], axis=1)[:, ::-1]
     passed = (m * pi + below[:, 1:]) / (pi + below[:, :-1])
     reach = np.cumprod(np.hstack([np.ones((len(nd), 1)), passed]), axis=1)
-    return (pi * (1 - m) + nd) / (pi + below) * reach
+    broken = (pi * (1 - m) + nd) / (pi + below) * reach
+    broken[:, -1] = reach[:, -1]
+    return broken
 
 
 def flat_draw(k: int, alpha, eta_sum: float, totals=None, first: int = 0,

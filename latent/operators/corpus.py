@@ -56,14 +56,15 @@ def corpus_totals(cells: DataFrame) -> DataFrame:
 
 
 def symmetric_eta(vocab: DataFrame, eta: float) -> DataFrame:
-    """The same prior weight on every term; the sum over the vocabulary must stay under 1e6."""
+    """The same prior weight on every term."""
     return vocab.withColumn("eta", F.lit(float(eta)))
 
 
-def check_eta_sum(n_terms: int, eta: float) -> float:
+def check_eta_sum(n_terms: int, eta: float, limit: float | None = None) -> float:
+    """Sum of a symmetric prior over the vocabulary; an error from ``limit`` on, if one is set."""
     total = n_terms * eta
-    if not total < 1e6:
-        raise ValueError(f"eta sums to {total:g} over the vocabulary; it must stay under 1e6")
+    if limit is not None and not total < limit:
+        raise ValueError(f"eta sums to {total:g} over the vocabulary; it must stay under {limit:g}")
     return total
 
 
@@ -96,9 +97,13 @@ HOT_SHARE = 1 / 1000
 HOT_MIN_ROWS = 50_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> list[tuple]:
-    """(key, fan) of every key holding over HOT_SHARE of the rows: at most 1/HOT_SHARE of them."""
-    floor = max(total * HOT_SHARE, HOT_MIN_ROWS)
+def hot_keys(counts: DataFrame, key: str, n: str, total: int,
+             least: int = HOT_MIN_ROWS) -> list[tuple]:
+    """(key, fan) of every key holding over HOT_SHARE of the rows: at most 1/HOT_SHARE of them.
+
+    A key of fewer than ``least`` rows is not worth spreading.
+    """
+    floor = max(total * HOT_SHARE, least)
     return [(r[0], int(r[1] // floor) + 1)
             for r in counts.where(F.col(n) > floor).select(key, n).collect()]
 

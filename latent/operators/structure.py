@@ -40,6 +40,7 @@ def contract_tree(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame
     """
     links = ws.cut(edges.select("child", "parent").distinct(), "links")
     nodes = ws.cut(tree_nodes(links).withColumn("label", F.col("node")), "labels")
+    fail_on_cycle(links, ws)
     while True:
         n_children = links.groupBy("parent").agg(F.count("*").alias("children"),
                                                  F.min("child").alias("only"))
@@ -78,6 +79,21 @@ def contract_tree(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame
         nodes, links = ws.cut(new_nodes, "labels"), ws.cut(new_links, "links")
 
 
+def fail_on_cycle(links: DataFrame, ws: Workspace) -> None:
+    """An error if following (child, parent) links upwards never ends for some node.
+
+    Nodes without a parent left are taken away, level by level; what can't be is a cycle.
+    """
+    left = links.select("child", "parent")
+    while not left.isEmpty():
+        top = left.select(F.col("parent").alias("child")).distinct().join(
+            left.select("child"), "child", "left_anti").withColumnRenamed("child", "parent")
+        rest = ws.cut(left.join(top, "parent", "left_anti").select("child", "parent"), "rest")
+        if top.isEmpty():
+            raise ValueError(f"the hierarchy has a cycle through {rest.first()['child']}")
+        left = rest
+
+
 def ancestors(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """(node, ancestor, distance) for every node, itself at 0; the least distance is kept.
 
@@ -117,7 +133,10 @@ def nodes_naming_docs(edges: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def root_paths(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """Every distinct path from a node to a root, as an array starting at the node."""
+    """Every distinct path from a node to a root, as an array starting at the node.
+
+    A path that comes back to one of its own nodes is an error: a hierarchy has no cycle.
+    """
     ws = ws or Workspace(edges.sparkSession)
     up = ws.cut(edges.select("child", "parent").distinct(), "up")
     open_paths = tree_nodes(up).select("node", F.col("node").alias("last"),
@@ -130,19 +149,23 @@ def root_paths(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
             ended.select("node", "path"))
         if open_paths.isEmpty():
             return done
+        again = F.array_contains("path", F.col("parent"))
+        last = F.coalesce(F.when(again, F.raise_error(F.concat(
+            F.lit("the hierarchy has a cycle through "), "parent"))), F.col("parent"))
         open_paths = (open_paths.join(up.withColumnRenamed("child", "last"), "last")
-                      .select("node", F.col("parent").alias("last"),
+                      .select("node", last.alias("last"),
                               F.concat("path", F.array("parent")).alias("path")))
 
 
 def sense_paths(doc_nodes: DataFrame, edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """One topic list per direct parent of the document's node, with ln(freq) of that edge.
 
-    Senses count from 0 in parent order; levels run from the root side to the document.
+    Senses count from 0 by node and parent, over all nodes of a document; levels run from the
+    root side to the document.
     """
     closure = ancestors(edges, ws)
     freq = F.coalesce("freq", F.lit(1.0)) if "freq" in edges.columns else F.lit(1.0)
-    listed = Window.partitionBy("doc_id", "node").orderBy("parent")
+    listed = Window.partitionBy("doc_id").orderBy("node", "parent")
     direct = (doc_nodes.join(edges.withColumn("freq", freq).withColumnRenamed("child", "node"),
                              "node")
               .withColumn("sense", F.row_number().over(listed) - 1)

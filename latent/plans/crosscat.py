@@ -48,7 +48,7 @@ class ViewModel(Model):
         for w in range(1, wave_count(self.corpus.n_docs) + 1):
             pending = sites.where(F.col("wave") == w).select("doc_id", "view")
             drawn = draw_clusters(self.ws, whole(placed), pending, self.scorer(vcells),
-                                  run.rounds, run.seed, 0, w, must_place=True)
+                                  self.kmax >= 0, run.seed, 0, w)
             drawn = self.ws.cut(drawn, f"wave-{w}")
             draws.append(drawn)
             placed.append(self.unplaced(pending, drawn))
@@ -64,7 +64,7 @@ class ViewModel(Model):
     def renew_members(self, state: State, vcells: DataFrame, it: int, keep=None) -> State:
         def move(s: State, part: DataFrame, b: int) -> DataFrame:
             drawn = draw_clusters(self.ws, whole(s["members"]), part.select("doc_id", "view"),
-                                  self.scorer(vcells), self.run.rounds, self.run.seed, it, b)
+                                  self.scorer(vcells), self.kmax >= 0, self.run.seed, it, b)
             if keep is not None:
                 keep.append(drawn)
             return replace_members(part, drawn)

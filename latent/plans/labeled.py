@@ -56,6 +56,15 @@ class LabeledLDA(TokenModel):
     """Tokens choose among ``doc_topics(doc_id, topic)``; documents without a list sit out."""
 
     kind = "labeled"
+    learned_names = ("eta",)
+
+    def learned(self):
+        return {} if self.eta_table is None else {"eta": self.eta_table}
+
+    def restore(self, learned, numbers):
+        if "eta" in learned:
+            self.eta_table = learned["eta"]
+            self.eta_sum = self.eta_table.agg(F.sum("eta")).first()[0]
 
     def __init__(self, corpus: Corpus, run: Run, workspace: Workspace, doc_topics: DataFrame,
                  alpha: float = 0.1, eta: float = 0.1, learn: bool = False):
@@ -135,7 +144,11 @@ def fit_fixed_tree(cells: DataFrame, docs: DataFrame, edges: DataFrame, alpha: f
 
 
 class SenseSelection(Model):
-    """One of a document's sense paths is active each sweep; the others keep their levels."""
+    """One of a document's sense paths is active each sweep.
+
+    The levels of the idle senses are redrawn before senses are scored, each as if it were the
+    active one, so that all compete with levels that suit them.
+    """
 
     kind = "senses"
     state_names = ("tokens", "chosen")
@@ -146,6 +159,7 @@ class SenseSelection(Model):
         self.alpha, self.eta = alpha, eta
         self.eta_sum = check_eta_sum(corpus.n_terms, eta)
         self.senses = workspace.cut(senses, "senses", pin=True)
+        self.n_senses = (self.senses.agg(F.max("sense")).first()[0] or 0) + 1
 
     def start(self) -> State:
         run = self.run
@@ -220,8 +234,32 @@ class SenseSelection(Model):
         def choose(s: State, part: DataFrame, b: int) -> DataFrame:
             u = site_uniform(seed, it, "sense", DOC)
             picked = sample_site(self.sense_scores(s, part), ["doc_id"], "sense", u)
-            return part.drop("sense").join(picked.select("doc_id", "sense"), "doc_id")
+            to = picked.select("doc_id", F.col("sense").alias("_to"))
+            # A document whose senses all have weight zero keeps the one it has.
+            return (part.join(to, "doc_id", "left")
+                    .withColumn("sense", F.coalesce("_to", "sense")).drop("_to"))
 
+        def prepare(s: State, part: DataFrame, b: int) -> DataFrame:
+            """New levels for the idle senses: each in turn stands in for the active one."""
+            chosen = s["chosen"][b].select("doc_id", "sense")
+            idle = part.join(chosen, ["doc_id", "sense"], "left_anti")
+            drawn = [part.join(chosen, ["doc_id", "sense"]).select(*part.columns)]
+            active, slots = self.active(s), self.active_slots(s)
+            for k in range(self.n_senses):
+                mine = self.ws.cut(idle.where(F.col("sense") == k), "idle")
+                docs = mine.select("doc_id").distinct()
+                tokens = active.select("doc_id", "term", "pos", "z").join(
+                    docs, "doc_id", "left_anti").unionByName(
+                    mine.select("doc_id", "term", "pos", "z"))
+                theirs = self.senses.where(F.col("sense") == k).join(docs, "doc_id").select(
+                    "doc_id", F.col("level").alias("slot"), "node_id",
+                    F.lit(float(self.alpha)).alias("alpha"))
+                known = slots.join(docs, "doc_id", "left_anti").unionByName(theirs)
+                drawn.append(redraw_slots(mine, tokens, known, self.eta, self.corpus, token_uniform(
+                    seed, it, f"idle{k}")).select(*part.columns))
+            return whole(drawn)
+
+        state = self.each_batch(state, "tokens", prepare)
         state = self.each_batch(state, "chosen", choose)
 
         def relevel(s: State, part: DataFrame, b: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latent.operators.corpus import Corpus
-from latent.session import Workspace
+from latent.session import Workspace, subfolders
 
 State = dict[str, list[DataFrame]]
 
@@ -33,7 +33,6 @@ class Run:
     out: str | None = None
     chain_id: int = 0
     save_best: bool = True
-    rounds: int = 4
 
 
 def whole(parts: list[DataFrame]) -> DataFrame:
@@ -44,6 +43,7 @@ class Model:
     """A model turns a corpus into state tables and moves them one sweep at a time."""
 
     kind = "model"
+    learned_names: tuple[str, ...] = ()
 
     def __init__(self, corpus: Corpus | None, run: Run, workspace: Workspace, **hyper):
         self.corpus, self.run, self.ws, self.hyper = corpus, run, workspace, hyper
@@ -64,6 +64,13 @@ class Model:
         """Further scalars for the trace row."""
         return {}
 
+    def learned(self) -> dict[str, DataFrame]:
+        """Tables beside the state that sampling has changed; saved and restored with it."""
+        return {}
+
+    def restore(self, learned: dict[str, DataFrame], numbers: dict) -> None:
+        """Take up what :meth:`learned` and :meth:`numbers` gave when the state was saved."""
+
     def split(self, df: DataFrame, name: str) -> list[DataFrame]:
         """Materialise a table with a ``batch`` column as one part per batch."""
         return self.ws.split(df, name, "batch", self.run.batches)
@@ -104,18 +111,30 @@ class Fitted:
 def save_model(fitted: Fitted, state: State, kind: str, it: int) -> None:
     """Write each state table under out/<table>/chain_id=/kind=/iter=/."""
     run = fitted.model.run
-    for name, df in fitted.model.tables(state).items():
+    for name, df in {**fitted.model.tables(state), **fitted.model.learned()}.items():
         df.write.mode("overwrite").parquet(
             f"{run.out}/{name}/chain_id={run.chain_id}/kind={kind}/iter={it}")
 
 
-def fit(model: Model, state: State | None = None, first_iter: int = 0) -> Fitted:
-    """Sweep until ``max_sweeps``, or until ``interval`` sweeps bring no new best."""
+def save_trace(fitted: Fitted) -> None:
+    run = fitted.model.run
+    if fitted.trace_rows:
+        fitted.trace().coalesce(1).write.mode("overwrite").parquet(
+            f"{run.out}/trace/chain_id={run.chain_id}")
+
+
+def fit(model: Model, before: Fitted | None = None) -> Fitted:
+    """Sweep until ``max_sweeps``, or until ``interval`` sweeps bring no new best.
+
+    ``before`` is a fit to go on from: its last trace row belongs to its state.
+    """
     run = model.run
-    state = model.start() if state is None else state
-    fitted = Fitted(model, state)
-    best_ll, best_iter, kind = None, first_iter, "last"
-    for it in range(first_iter, first_iter + run.max_sweeps + 1):
+    fitted = before or Fitted(model, model.start())
+    state, rows = fitted.state, fitted.trace_rows
+    first_iter = rows[-1]["iter"] if rows else 0
+    best_ll = rows[-1]["best_ll"] if rows else None
+    best_iter, kind, it = rows[-1]["best_iter"] if rows else 0, "last", first_iter
+    for it in range(first_iter + bool(rows), first_iter + run.max_sweeps + 1):
         if it > first_iter:
             state = model.sweep(state, it)
         ll = model.log_likelihood(state)
@@ -123,13 +142,14 @@ def fit(model: Model, state: State | None = None, first_iter: int = 0) -> Fitted
             best_ll, best_iter, fitted.best = ll, it, state
             if run.out and run.save_best:
                 save_model(fitted, state, "best", it)
-        if run.out and run.sample_lag and it > first_iter and it % run.sample_lag == 0:
-            save_model(fitted, state, f"sample-{it:05d}", it)
         fitted.state = state
         fitted.trace_rows.append({
             "chain_id": run.chain_id, "iter": it, "ll": float(ll), "best_ll": float(best_ll),
             "best_iter": best_iter,
             "numbers": {k: float(v) for k, v in model.numbers(state).items()}})
+        if run.out and run.sample_lag and it > first_iter and it % run.sample_lag == 0:
+            save_model(fitted, state, f"sample-{it:05d}", it)
+            save_trace(fitted)
         model.ws.retain([df for s in (state, fitted.best) for parts in s.values()
                          for df in parts])
         if it - best_iter >= run.interval:
@@ -137,22 +157,51 @@ def fit(model: Model, state: State | None = None, first_iter: int = 0) -> Fitted
             break
     if run.out:
         save_model(fitted, state, kind, it)
-        fitted.trace().write.mode("overwrite").parquet(
-            f"{run.out}/trace/chain_id={run.chain_id}")
+        save_trace(fitted)
     return fitted
 
 
-def resume(model: Model, path: str, kind: str = "last", it: int | None = None) -> Fitted:
-    """Go on from saved state tables and their sweep number."""
+def load_state(model: Model, path: str, kind: str, it: int) -> State:
     spark = model.ws.spark
-    chain = model.run.chain_id
     state: State = {}
     for name in model.state_names:
-        saved = spark.read.parquet(f"{path}/{name}").where(
-            (F.col("chain_id") == chain) & (F.col("kind") == kind))
-        if it is None:
-            it = saved.agg(F.max("iter")).first()[0]
-        rows = saved.where(F.col("iter") == it).drop("chain_id", "kind", "iter")
+        rows = spark.read.parquet(f"{path}/{name}").where(
+            (F.col("chain_id") == model.run.chain_id) & F.col("kind").startswith(kind)
+            & (F.col("iter") == it)).drop("chain_id", "kind", "iter")
         state[name] = (model.split(rows, name) if "batch" in rows.columns
                        else [model.ws.cut(rows, name)])
-    return fit(model, state, first_iter=int(it))
+    return state
+
+
+def resume(model: Model, path: str, kind: str = "last", it: int | None = None) -> Fitted:
+    """Go on from saved state tables as if sampling had not stopped.
+
+    The trace up to that sweep, the best state so far, and what the model has learned beside
+    its state come back with it.
+    """
+    spark, chain = model.ws.spark, model.run.chain_id
+    at = F.col("chain_id") == chain
+    if it is None:
+        it = spark.read.parquet(f"{path}/{model.state_names[0]}").where(
+            at & F.col("kind").startswith(kind)).agg(F.max("iter")).first()[0]
+    trace = (spark.read.parquet(f"{path}/trace").where(at & (F.col("iter") <= it))
+             .orderBy("iter").collect())
+    names = ("chain_id", "iter", "ll", "best_ll", "best_iter", "numbers")
+    rows = [{n: r[n] for n in names} for r in trace]
+    if not rows or rows[-1]["iter"] != it:
+        raise ValueError(f"no trace row of sweep {it} for chain {chain} under {path}")
+    learned = {}
+    for name in model.learned_names:
+        if name in subfolders(spark, path):
+            table = spark.read.parquet(f"{path}/{name}").where(
+                at & F.col("kind").startswith(kind) & (F.col("iter") == it))
+            if not table.isEmpty():
+                learned[name] = model.ws.cut(table.drop("chain_id", "kind", "iter"), name, pin=True)
+    model.restore(learned, rows[-1]["numbers"])
+    before = Fitted(model, load_state(model, path, kind, int(it)), rows)
+    best = rows[-1]["best_iter"]
+    if best != it and model.run.save_best:
+        before.best = load_state(model, path, "best", int(best))
+    else:
+        before.best = before.state
+    return fit(model, before)

@@ -101,9 +101,9 @@ class VMF(Model):
             drawn = sample_site(scores, ["vec_id"], "cluster", u)
             new_id = F.lit(fresh_id(it, b, 0)) - 1 - F.col("cluster")
             to = F.when(F.col("cluster") < 0, new_id).otherwise(F.col("cluster"))
-            moved = self.ws.cut(part.drop("cluster").join(
-                drawn.select("vec_id", to.alias("cluster")), "vec_id").select(*part.columns),
-                f"members-{b}")
+            moved = self.ws.cut(part.join(
+                drawn.select("vec_id", to.alias("_to")), "vec_id", "left").withColumn(
+                "cluster", F.coalesce("_to", "cluster")).select(*part.columns), f"members-{b}")
             parts = list(state["members"])
             parts[b] = moved
             added = self.mean_table([fresh_id(it, b, 0) + j for j in range(AUXILIARY)], fresh)
@@ -139,12 +139,17 @@ class VMF(Model):
         self.tried, self.kept = self.tried + n, self.kept + kept
         return {**state, "means": [self.ws.cut(moved.drop("kept"), "means")]}
 
+    def restore(self, learned, numbers):
+        self.scale = numbers["scale"]
+        self.tried, self.kept = int(numbers["tried"]), int(numbers["kept"])
+
     def log_likelihood(self, state: State) -> float:
         return ll_vmf(self.vectors, whole(state["members"]), state["means"][0], self.kappa,
                       self.p, self.alpha)
 
     def numbers(self, state: State) -> dict:
-        return {"clusters": state["means"][0].count(), "scale": self.scale}
+        return {"clusters": state["means"][0].count(), "scale": self.scale,
+                "tried": self.tried, "kept": self.kept}
 
 
 def ll_vmf(vectors: DataFrame, members: DataFrame, means: DataFrame, kappa: float, p: int,

@@ -74,12 +74,13 @@ def read_dictionary(spark: SparkSession, path) -> dict[str, DataFrame]:
     is_topic = (F.size("f") == 2) & F.col("f")[0].startswith("0x")
     return {
         "doc_topics": above.where(~is_topic).select(
-            F.col("f")[0].alias("name"), F.col("f")[1].cast("long").alias("doc_id"),
+            F.col("f")[0].alias("name"), F.get("f", 1).try_cast("long").alias("doc_id"),
             F.posexplode(F.slice("f", F.lit(3), F.size("f") - 2)).alias("pos", "topic")),
         "topic_labels": above.where(is_topic).select(
             F.col("f")[0].alias("topic"), F.col("f")[1].alias("label")),
-        "terms": below.select(F.col("f")[0].cast("long").alias("term_id"),
-                              F.col("f")[1].alias("term")),
+        # Tried casts: Spark may look at a row's fields before its line number.
+        "terms": below.select(F.col("f")[0].try_cast("long").alias("term_id"),
+                              F.get("f", 1).alias("term")),
     }
 
 

@@ -13,7 +13,7 @@ from latent.operators.corpus import WORD, Corpus, batch_of, expand_tokens
 from latent.operators.counts import topic_array
 from latent.plans.flat import redraw_topics, topic_totals, zeros
 from latent.plans.loop import whole
-from latent.session import Workspace, shared_root
+from latent.session import Workspace, delete, shared_root, subfolders
 
 
 def stream_cells(stream: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -53,21 +53,45 @@ class WindowFit:
     """A flat model over at most ``window`` documents of a stream.
 
     Each micro-batch adds its documents, evicts uniformly random ones (least keyed hash) once
-    the window is full, and runs one sweep. State is a parquet table per batch id, read from
-    the batch before, so a replayed batch writes the same table again.
+    the window is full, and runs one sweep. State is a parquet table per batch id under
+    ``path``, read from the last complete batch before, so a replayed batch writes the same
+    table again and a new process goes on where the last one stopped. Older tables than the
+    one before are deleted.
     """
 
+    BUCKETS = 4096  # of the hash by which documents are evicted
+
     def __init__(self, spark: SparkSession, k: int, window: int, alpha: float = 0.1,
                  eta: float = 0.1, seed: int = 0, batches: int = 1, path: str | None = None):
         self.k, self.window, self.alpha, self.eta = k, window, alpha, eta
         self.seed, self.batches = seed, batches
         self.path = path or f"{shared_root(spark)}/window-{uuid.uuid4().hex}"
-        self.last: int | None = None
+
+    def saved(self, spark: SparkSession) -> list[int]:
+        """Batches whose tables are complete, in order."""
+        found = [int(n[6:]) for n in subfolders(spark, self.path) if n.startswith("batch=")]
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        marks = {b: done(f"{self.path}/batch={b}/_SUCCESS") for b in found}
+        return sorted(b for b, mark in marks.items() if mark.getFileSystem(conf).exists(mark))
 
     def state(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
-        batch_id = self.last if batch_id is None else batch_id
+        batch_id = self.saved(spark)[-1] if batch_id is None else batch_id
         return spark.read.parquet(f"{self.path}/batch={batch_id}")
 
+    def evicted(self, docs: DataFrame, excess: int, batch_id: int) -> DataFrame:
+        """The ``excess`` documents of the least hashes: whole buckets of the hash, and the
+        least of the one bucket in which the number is reached."""
+        u = site_uniform(self.seed, batch_id, "evict", DOC)
+        dealt = docs.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * self.BUCKETS))
+        sizes = dict(map(tuple, dealt.groupBy("_b").count().collect()))
+        edge, before = 0, 0
+        while before + sizes.get(edge, 0) < excess:
+            before += sizes.get(edge, 0)
+            edge += 1
+        last = dealt.where(F.col("_b") == edge).orderBy("_u", "doc_id").limit(excess - before)
+        return dealt.where(F.col("_b") < edge).unionByName(last).select("doc_id")
+
     def on_batch(self, cells: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` hook over cells (doc_id, term, n)."""
         spark = cells.sparkSession
@@ -76,18 +100,15 @@ class WindowFit:
         new = expand_tokens(cells).select(
             "doc_id", "term", "pos",
             site_integer(self.k, self.seed, "init", *site).alias("z"))
-        old = None
-        if batch_id > 0 and self.last is not None:
-            old = self.state(spark, batch_id - 1 if self.last >= batch_id - 1 else self.last)
+        before = [b for b in self.saved(spark) if b < batch_id]
+        old = self.state(spark, before[-1]) if before else None
         held = new if old is None else old.join(
             new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
         held = ws.cut(held, "held")
         docs = held.select("doc_id").distinct()
         excess = docs.count() - self.window
         if excess > 0:
-            # Eviction is the operator itself; the sort runs on document ids only.
-            order = site_uniform(self.seed, batch_id, "evict", DOC)
-            out = docs.orderBy(order, "doc_id").limit(excess)
+            out = self.evicted(docs, excess, batch_id)
             held = ws.cut(held.join(out, "doc_id", "left_anti"), "kept")
         corpus = Corpus.build(ws, held.groupBy("doc_id", "term").agg(F.count("*").alias("n")))
         parts = [ws.cut(held.where(batch_of(self.batches, self.seed, *site) == b), "part")
@@ -97,7 +118,8 @@ class WindowFit:
             parts[b] = ws.cut(redraw_topics(parts[b], whole(parts), self.k, self.alpha, self.eta,
                                             corpus, u, ws), "part")
         whole(parts).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        self.last = batch_id
+        for b in before[:-1]:
+            delete(spark, f"{self.path}/batch={b}")
         ws.close()
 
 

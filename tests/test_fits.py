@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,12 +8,13 @@ from latent.functions.sites import DOC, POS, TERM, site_integer
 from latent.operators.corpus import Corpus, expand_tokens
 from latent.operators.counts import path_doc_counts
 from latent.operators.paths import tree_is_consistent
+from latent.operators.structure import sense_paths
 from latent.plans import chains, crosscat, labeled, lda, mixture, ncrp, vmf
-from latent.plans.loop import Run, resume, whole
+from latent.plans.loop import Run, fit, resume, whole
 from latent.session import Workspace
 from latent.streaming import fold
 
-RUN = Run(seed=1, batches=2, max_sweeps=2, rounds=2)
+RUN = Run(seed=1, batches=2, max_sweeps=2)
 
 
 def lls(fitted):
@@ -96,7 +98,7 @@ def test_dp_mixture_separates_planted_halves(spark, planted):
 
 
 def test_crosscat_keeps_sites_and_cap(spark, planted, tmp_path):
-    run = Run(seed=2, batches=2, max_sweeps=1, rounds=2, out=str(tmp_path / "cc"), sample_lag=1)
+    run = Run(seed=2, batches=2, max_sweeps=1, out=str(tmp_path / "cc"), sample_lag=1)
     f = crosscat.fit_crosscat(planted, 2, run=run, kmax=3, noise_view=True)
     members = f.tables()["members"]
     assert members.count() == 32
@@ -107,12 +109,59 @@ def test_crosscat_keeps_sites_and_cap(spark, planted, tmp_path):
     model = crosscat.CrossCat(Corpus.build(ws, planted), Run(seed=2, batches=2, max_sweeps=0), ws, 2,
                               kmax=3, noise_view=True)
     again = resume(model, str(tmp_path / "cc"), "last")
-    assert again.trace_rows[0]["iter"] == 1 and math.isclose(lls(again)[0], lls(f)[-1])
+    assert [r["iter"] for r in again.trace_rows] == [0, 1] and lls(again) == lls(f)
+
+
+def test_resume_goes_on_like_an_unbroken_run(spark, planted, tmp_path):
+    def soft(sweeps):
+        ws = Workspace(spark)
+        return crosscat.SoftCrossCat(Corpus.build(ws, planted.withColumn("n", F.lit(1).cast("long"))), Run(
+            seed=2, batches=1, max_sweeps=sweeps, out=str(tmp_path / f"soft{sweeps}")), ws, 2)
+
+    whole_run, first = fit(soft(2)), fit(soft(1))
+    model = soft(1)
+    model.run = replace(model.run, max_sweeps=1)
+    again = resume(model, str(tmp_path / "soft1"))
+    assert [r["iter"] for r in again.trace_rows] == [0, 1, 2]
+    assert all(math.isclose(a, b) for a, b in zip(lls(again), lls(whole_run), strict=True))
+    assert again.trace_rows[-1]["best_iter"] == whole_run.trace_rows[-1]["best_iter"]
+    assert lls(first) == lls(again)[:2]
+    saved = spark.read.parquet(str(tmp_path / "soft1" / "trace")).orderBy("iter").collect()
+    assert [r["iter"] for r in saved] == [0, 1, 2]
+
+
+def test_a_batch_founds_many_clusters(spark):
+    """Documents without a common term: with a large gamma each wants a cluster of its own."""
+    rows = [(d, f"w{d}", 6) for d in range(24)]
+    cells = spark.createDataFrame(rows, "doc_id long, term string, n long")
+    f = ncrp.fit_dp_mixture(cells, run=Run(seed=1, batches=1, max_sweeps=1), gamma=1000.0)
+    assert f.tables()["paths"].where("level = 1").select("node_id").distinct().count() > 12
+
+
+def test_idle_senses_are_redrawn(spark, planted):
+    """Levels of senses that were not chosen move as well, so they can win later."""
+    docs = planted.select("doc_id").distinct().select("doc_id", F.lit("leaf").alias("node"))
+    edges = spark.createDataFrame([("leaf", "x"), ("leaf", "y"), ("x", "root"), ("y", "root")],
+                                  "child string, parent string")
+    ws = Workspace(spark)
+    model = labeled.SenseSelection(Corpus.build(ws, planted), Run(seed=1, batches=2), ws,
+                                   sense_paths(docs, edges, ws))
+    state, seen = model.start(), []
+    for it in (0, 1, 2):
+        state = model.sweep(state, it) if it else state
+        levels = {(r["doc_id"], r["sense"], r["term"], r["pos"]): r["z"]
+                  for r in whole(state["tokens"]).collect()}
+        seen.append((levels, dict(whole(state["chosen"]).select("doc_id", "sense").collect())))
+    (_, first), (before, second), (after, third) = seen
+    assert before.keys() == after.keys() and len(third) == 16
+    moved = [k for k in after if before[k] != after[k] and third[k[0]] != k[1] == 1 - second[k[0]]]
+    kept = [d for d in second if second[d] == third[d]]
+    assert moved or not kept
 
 
 @pytest.mark.parametrize("implementation", ["normal", "marginal"])
 def test_soft_crosscat_keeps_tokens(spark, planted, implementation):
-    f = crosscat.fit_soft_crosscat(planted, 2, run=Run(seed=2, batches=1, max_sweeps=1, rounds=2),
+    f = crosscat.fit_soft_crosscat(planted, 2, run=Run(seed=2, batches=1, max_sweeps=1),
                                    implementation=implementation)
     assert f.tables()["tokens"].count() == planted.count()
     assert f.tables()["members"].count() == 32
@@ -176,3 +225,9 @@ def test_window_fit_evicts_and_replays(spark, tmp_path):
     model.on_batch(spark.createDataFrame(
         [(4 + i, w, 2) for i in range(2) for w in "ab"], "doc_id long, term string, n long"), 2)
     assert first == sorted(map(tuple, model.state(spark).select("doc_id", "term", "pos", "z").collect()))
+    # A new process goes on from the folder, replays included, and keeps two tables at most.
+    again = fold.WindowFit(spark, 2, window=3, path=str(tmp_path / "w"))
+    again.on_batch(spark.createDataFrame([(90, "a", 2)], "doc_id long, term string, n long"), 3)
+    kept = {r[0] for r in again.state(spark).select("doc_id").collect()}
+    assert len(kept) == 3 and 90 in kept | {r[0] for r in first} and len(kept & {r[0] for r in first}) >= 2
+    assert again.saved(spark) == [2, 3]

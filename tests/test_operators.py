@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from latent.operators import clusters, corpus, paths, structure, windows
@@ -8,12 +9,11 @@ def edge_frame(spark, pairs):
     return spark.createDataFrame(pairs, "child string, parent string")
 
 
-def test_spread_join_equals_plain_join(spark, monkeypatch):
+def test_spread_join_equals_plain_join(spark):
     big = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(
         F.concat(F.lit("t"), F.col("id") % 50)).alias("term"), F.col("id").alias("doc_id"))
     small = big.select("term").distinct().withColumn("v", F.length("term"))
-    monkeypatch.setattr(corpus, "HOT_MIN_ROWS", 100)
-    hot = corpus.hot_keys(big.groupBy("term").agg(F.count("*").alias("df")), "term", "df", 2000)
+    hot = corpus.hot_keys(big.groupBy("term").agg(F.count("*").alias("df")), "term", "df", 2000, 100)
     assert hot[0][0] == "hot" and hot[0][1] > 1 and len(hot) == 1
     for how in ("inner", "left"):
         spread = corpus.spread_join(big, small, ["term"], hot, "term", "doc_id", how)
@@ -43,6 +43,21 @@ def test_dag_walks(spark):
         (0, 0, "root"), (0, 1, "p"), (0, 2, "d"), (1, 0, "root"), (1, 1, "q"), (1, 2, "d")}
 
 
+def test_senses_of_two_nodes_and_cycles(spark):
+    edges = edge_frame(spark, [("d", "p"), ("e", "p"), ("e", "q"), ("p", "root"), ("q", "root")])
+    docs = spark.createDataFrame([(1, "d"), (1, "e")], "doc_id long, node string")
+    rows = structure.sense_paths(docs, edges).collect()
+    lists = {}
+    for r in sorted(rows, key=lambda r: r["level"]):
+        lists.setdefault(r["sense"], []).append(r["node_id"])
+    assert lists == {0: ["root", "p", "d"], 1: ["root", "p", "e"], 2: ["root", "q", "e"]}
+    ring = edge_frame(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "top")])
+    with pytest.raises(Exception, match="cycle"):
+        structure.root_paths(ring).collect()
+    with pytest.raises(ValueError, match="cycle"):
+        structure.contract_tree(ring, Workspace(spark))
+
+
 def test_names_listing_several_docs(spark):
     edges = edge_frame(spark, [("d1 d2", "root")])
     docs = spark.createDataFrame([(1, "d1"), (2, "d2"), (3, "d3")], "doc_id long, name string")

@@ -20,9 +20,9 @@ def test_docify_edge_cases(spark, tmp_path, suffix):
     with opener(path, "wt") as f:
         f.write(LINES)
     docs, cells = docify.read_docify(spark, str(path))
-    names = [r["name"] for r in docs.orderBy("doc_id").collect()]
-    assert names == ["one", "one"]
-    first, second = [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
+    assert [r["name"] for r in docs.collect()] == ["one", "one"]
+    second = cells.where("term = 'q'").first()["doc_id"]
+    first = docs.where(F.col("doc_id") != second).first()["doc_id"]
     got = {(r["doc_id"], r["term"]): r["n"] for r in cells.collect()}
     assert got == {(first, "a"): 3, (first, "b c"): 1, (first, "x:y"): 3, (second, "q"): 5}
     raw = docify.read_docify(spark, str(path), parse_counts=False)[1]
@@ -57,6 +57,39 @@ def test_tree_edges_and_topics(spark, tmp_path):
     assert got == {("d1", 0, "x"), ("d1", 1, "y"), ("d2", 0, "z")}
 
 
+def test_part_files_of_any_size_keep_rows_and_order(spark, tmp_path):
+    """A dictionary of several part files that Spark deals to tasks by size, not by name."""
+    docs = spark.createDataFrame([(i, f"d{i}") for i in range(50)], "doc_id long, name string")
+    slots = as_slots(docs.select("doc_id", F.concat(F.lit("t"), F.col("doc_id") % 3).alias("topic")), 0.1)
+    ids = spark.range(20_000).select(F.concat(F.lit("w"), "id").alias("term"),
+                                     F.col("id").alias("term_id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sinks.export_dictionary(slots, docs, ids, str(tmp_path / "dict"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+        back = samples.read_dictionary(spark, str(tmp_path / "dict"))
+        assert back["terms"].count() == 20_000 == back["terms"].join(ids, ["term_id", "term"]).count()
+        assert back["doc_topics"].count() == 50 and back["topic_labels"].count() == 3
+        for name, parent in (("a", "first"), ("b", "second"), ("c", "last")):
+            (tmp_path / "edges").mkdir(exist_ok=True)
+            more = "".join(f"n{i}\tx\n" for i in range(20_000 if name == "b" else 10))
+            (tmp_path / "edges" / name).write_text(f"node\t{parent}\n" + more)
+        edges = docify.read_tree_edges(spark, str(tmp_path / "edges"))
+        assert edges.where("child = 'node'").orderBy("line_no").select("parent").collect() == [
+            ("first",), ("second",), ("last",)]
+        (tmp_path / "docs").write_text("".join(f"n{i % 90}\ta:{i % 7}\tb:2\n" for i in range(20_000)))
+        split = {tuple(r) for r in docify.read_docify(spark, str(tmp_path / "docs"))[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = {tuple(r) for r in docify.read_docify(spark, str(tmp_path / "docs"))[0].collect()}
+    assert split == whole and len(whole) == 20_000
+
+
 def named(cells):
     return cells.select("doc_id").distinct().withColumn("name", F.concat(F.lit("d"), "doc_id"))
 
@@ -87,7 +120,7 @@ def test_labeled_round_trip(spark, planted, tmp_path):
         F.lit("all"), F.concat(F.lit("t"), F.col("doc_id") % 2))).alias("topic"))
     slots = as_slots(topics, 0.1)
     tokens = expand_tokens(planted).withColumn("z", site_integer(2, 0, DOC, TERM, POS))
-    ids = sinks.term_ids(vocab_counts(planted)).cache()
+    ids = sinks.term_ids(vocab_counts(planted))
     topic_ids = sinks.export_dictionary(slots, named(planted), ids, str(tmp_path / "dict"))
     sinks.export_labeled_sample(tokens, slots, topic_ids, ids, sinks.header_line(
         -1.0, -1.0, 1, 3, 0.1, 0.1, None, 2), str(tmp_path / "sample"))
