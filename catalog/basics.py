@@ -65,6 +65,17 @@ def _(s, d):
     return corpus.vocab_counts(doc_cells(s, d))
 
 
+@entry("spread_join", f"""with {CELLS}, v as (select term, count(*) as df from cells group by term)
+select doc_id, count(*) as terms, sum(df) as sum_df from cells join v using (term) group by doc_id""")
+def _(s, d):
+    """Every term of more than a thousandth of the cells is hot here, however few they are."""
+    cells = doc_cells(s, d)
+    v = corpus.vocab_counts(cells).select("term", "df")
+    hot = corpus.hot_keys(v, "term", "df", cells.count(), least=1)
+    return corpus.spread_join(cells, v, ["term"], hot, "term", "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("terms"), F.sum("df").alias("sum_df"))
+
+
 @entry("doc_lengths", f"with {CELLS} select doc_id, sum(n) as n_doc from cells group by doc_id")
 def _(s, d):
     return corpus.doc_lengths(doc_cells(s, d))

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.fixtures import (CELLS, brand_cells, doc_cells, nation_edges, part_features,
-                              shop_cells, table, tokens_of, tokens_sql, u_sql)
+from catalog.fixtures import (CELLS, PATHS, brand_cells, doc_cells, docs_in, nation_edges,
+                              part_features, paths_of, shop_cells, table, tokens_of, tokens_sql, u_sql)
 from catalog.models import (LABEL_TOKENS, MIX, MIX_DATA, V_SUM, flat_slots, label_state, mix_scores,
                             slot_scores)
 from latent.functions.sites import DOC, sample_site, site_uniform
 from latent.operators import counts, structure, windows
 from latent.operators.corpus import Corpus
+from latent.operators.structure import as_slots
 from latent.plans import crosscat, labeled, lda, mixture, ncrp, vmf
 from latent.plans.flat import redraw_slots, redraw_topics, token_uniform
 from latent.plans.loop import Run
 from latent.session import Workspace
-from latent.sources import docify, sinks
+from latent.sources import docify, samples, sinks
 from latent.streaming import fold
 
 Q: dict = {}
@@ -158,7 +159,7 @@ def _(s, d):
 
 @entry("fit_tiered")
 def _(s, d):
-    return traced(ncrp.fit_tiered(brand_cells(s, d), 2, run=ONE))
+    return traced(ncrp.fit_tiered(brand_cells(s, d), 3, run=ONE))
 
 
 @entry("fit_dp_mixture")
@@ -168,7 +169,7 @@ def _(s, d):
 
 @entry("fit_gem_tree")
 def _(s, d):
-    return traced(ncrp.fit_gem_tree(brand_cells(s, d), 0.5, 10.0, 2, run=ONE))
+    return traced(ncrp.fit_gem_tree(brand_cells(s, d), 0.5, 10.0, 3, run=ONE))
 
 
 @entry("fit_crosscat")
@@ -225,6 +226,33 @@ def _(s, d):
                                         F.count_distinct("term").alias("terms")))
 
 
+@entry("dictionary_round_trip", "select 'doc' || doc_id as name, doc_id, source as topic from documents")
+def _(s, d):
+    """Documents with their source as topic, written as a dictionary and read back."""
+    ws = Workspace(s)
+    docs = table(s, d, "documents")
+    slots = as_slots(docs.select("doc_id", F.col("source").alias("topic")), 0.1)
+    names = docs.select("doc_id", F.concat(F.lit("doc"), "doc_id").alias("name"))
+    sinks.export_dictionary(slots, names, sinks.term_ids(doc_cells(s, d).select("term").distinct()),
+                            f"{ws.path}/dictionary")
+    back = samples.read_dictionary(s, f"{ws.path}/dictionary")
+    return (back["doc_topics"].join(back["topic_labels"], "topic")
+            .select("name", "doc_id", F.col("label").alias("topic")))
+
+
+@entry("tree_sample_round_trip", f"""with {tokens_sql(3)}, {PATHS}
+select node_id, term, count(*) as n from tokens t join paths p on t.doc_id = p.doc_id and t.z = p.level
+group by node_id, term""")
+def _(s, d):
+    """Customers' tokens on the levels of a tree, written as a sample and read back."""
+    ws = Workspace(s)
+    cells = brand_cells(s, d)
+    names = docs_in(cells).withColumn("name", F.concat(F.lit("c"), "doc_id"))
+    sinks.export_tree_sample(tokens_of(cells, 3), paths_of(cells), names, sinks.header_line(
+        -1.0, -1.0, 0, 10, 0.1, 0.1, 1.0, 3), f"{ws.path}/tree")
+    return samples.read_tree_samples(s, f"{ws.path}/tree")["node_terms"].select("node_id", "term", "n")
+
+
 FOLD_IN = f"""with {tokens_sql(5, CELLS)}, {V_SUM},
 nw as (select term, z, count(*) as nw from tokens group by all), tot as (select z, count(*) as nwsum from tokens group by z),
 bt as (select item_id as doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as term,
