@@ -20,6 +20,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +82,15 @@ class Codec:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return self.id_of[np.array(self.plain.encode_ordinary(text), np.int64)]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of many short texts."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of many short texts end to end, and how many each has."""
         whole = "\n".join(words)
         if not PLAIN.fullmatch(whole) or any(s in whole for s in self.special):
-            return [self.encode(w) for w in words]
+            each = [self.encode(w) for w in words]
+            return np.concatenate([np.empty(0, "<u4"), *each]), list(map(len, each))
         coded = list(map(self.plain.encode_ordinary, words))
-        ids = self.id_of[np.fromiter((i for c in coded for i in c), np.int64)]
-        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
-        return np.split(ids, ends[:-1]) if len(coded) else []
+        ids = np.fromiter(chain.from_iterable(coded), np.int64)
+        return self.id_of[ids], list(map(len, coded))
 
     def decode(self, ids: np.ndarray) -> str:
         pieces = self.pieces
