@@ -9,6 +9,13 @@ pairs are left out once all of them exceed the radius. A bucket beyond ``block``
 is split into blocks, and each pair of blocks is a group of its own, so no group is unbounded.
 
 A group gives a spanning forest of its links, never all pairs: reachability is kept.
+
+``one_of_each`` asks for texts whose sets of five-word shingles have a similarity of 0.8 or
+more. Their fingerprints differ in some ten bits, far too many for blocks of equal bits, so
+its buckets are pairs of shingle minima, which texts of similarity s share with probability
+s² each. In a bucket the fingerprints are compared as above, with a radius that all but one
+in some thousand of such pairs keep to, and what is left is verified on bottom-k sketches of
+the shingles, which are exact for texts of fewer than k shingles.
 """
 
 from __future__ import annotations
@@ -40,10 +47,15 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
         return xxh64_intdigest(b" ".join(words), seed)
     join = b" ".join
     shingles = zip(*(words[i:] for i in range(width)), strict=False)
-    ones, n = np.zeros(BITS, np.int64), len(words) - width + 1
-    hashes = np.fromiter((xxh64_intdigest(join(s), seed) for s in shingles), ">u8", n)
+    return majority(np.fromiter((xxh64_intdigest(join(s), seed) for s in shingles), np.uint64,
+                                len(words) - width + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of the hashes."""
+    ones, n = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, n, 1 << 15):
-        part = hashes[at:at + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        part = hashes[at:at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
@@ -109,8 +121,12 @@ def within(a: np.ndarray, b: np.ndarray, n: int, radius: int) -> np.ndarray:
     return np.unpackbits(~beyond.view(np.uint8))[:n].astype(bool)
 
 
-def forest(ids: np.ndarray, fps: np.ndarray, radius: int, small: int = 64) -> np.ndarray:
-    """Links (m × 2 fingerprints) that span every group's components; ``ids`` are sorted."""
+def forest(ids: np.ndarray, fps: np.ndarray, radius: int, same=None,
+           small: int = 64) -> np.ndarray:
+    """Links (m × 2 positions) that span every group's components; ``ids`` are sorted.
+
+    ``same(i, j)`` may verify a pair within the radius.
+    """
     links, sizes = [], np.diff(np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True]))
     size = np.repeat(sizes, sizes)
     few = np.flatnonzero(size <= small)
@@ -123,14 +139,14 @@ def forest(ids: np.ndarray, fps: np.ndarray, radius: int, small: int = 64) -> np
         near = few[within(planes(fps[few]), planes(fps[few + shift]), len(few), radius)]
         pairs.append(np.stack([near, near + shift], 1))
     if pairs:
-        links.append(fps[_spanning(np.concatenate(pairs))])
+        links.append(_spanning(np.concatenate(pairs), same))
     starts = np.cumsum(sizes) - sizes
     for start, n in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        links.append(_spread(fps[start:start + n], radius))
-    return np.concatenate(links) if links else np.empty((0, 2), fps.dtype)
+        links.append(_spread(np.arange(start, start + n), fps, radius, same))
+    return np.concatenate(links) if links else np.empty((0, 2), np.int64)
 
 
-def _spanning(pairs: np.ndarray) -> np.ndarray:
+def _spanning(pairs: np.ndarray, same) -> np.ndarray:
     """The pairs that join two parts when taken in order."""
     top: dict[int, int] = {}
 
@@ -141,27 +157,29 @@ def _spanning(pairs: np.ndarray) -> np.ndarray:
 
     kept = []
     for i, (a, b) in enumerate(pairs.tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            top[max(a, b)] = min(a, b)
+        x, y = find(a), find(b)
+        if x != y and (same is None or same(a, b)):
+            top[max(x, y)] = min(x, y)
             kept.append(i)
     return pairs[kept]
 
 
-def _spread(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Spanning links of one large group: each fingerprint is compared with the unseen rest."""
-    rest, links = np.unique(fps), []
+def _spread(rest: np.ndarray, fps: np.ndarray, radius: int, same) -> np.ndarray:
+    """Spanning links of one large group: each member is compared with the unreached rest."""
+    links = []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             one = queue.pop()
-            near = within(planes(rest), planes(np.array([one])).astype(bool).any(axis=1)[:, None]
-                          * ~np.uint64(0), len(rest), radius)
+            bits = planes(fps[one:one + 1]).any(axis=1)[:, None] * ~np.uint64(0)
+            near = within(planes(fps[rest]), bits, len(rest), radius)
+            if same is not None:
+                near[near] = [same(one, j) for j in rest[near]]
             found = rest[near]
             links += [(one, f) for f in found]
             queue += found.tolist()
             rest = rest[~near]
-    return np.array(links, fps.dtype).reshape(-1, 2)
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
 # -- search ---------------------------------------------------------------------------
@@ -197,7 +215,7 @@ def links(ws: Workspace, prints: DataFrame, radius: int = 3, block: int = 2048)
 
         def give(rows):
             ids = np.cumsum(np.r_[0, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
-            found = forest(ids, rows[:, 4].copy().view(np.uint64), radius).view(np.int64)
+            found = rows[:, 4][forest(ids, rows[:, 4].copy().view(np.uint64), radius)]
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])],
                                               ["a", "b"])
 
@@ -245,18 +263,133 @@ def hex_of(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that represent their component, with all their columns.
+# -- texts of similar shingle sets ----------------------------------------------------
+
+BANDS, ROWS, SKETCH = 6, 2, 192
+
+
+def shingle_marks(text: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, bucket keys, sketch) of a text. A key hashes ``ROWS`` shingle minima, each
+    under an order of its own; the sketch holds the ``SKETCH`` smallest 32-bit shingle hashes.
+    A text without words has one key and an empty sketch."""
+    from xxhash import xxh64_intdigest
+    words = words_of(text)
+    if not words:
+        return 0, np.zeros(1, np.int64), np.empty(0, np.uint32)
+    join, n = b" ".join, max(len(words) - width + 1, 1)
+    hashes = np.fromiter((xxh64_intdigest(join(words[i:i + width]), 42) for i in range(n)),
+                         np.uint64, n)
+    sketch = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+    draw = np.random.default_rng(7)
+    odd = draw.integers(0, 1 << 62, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = [int((hashes * m ^ (hashes * m >> np.uint64(29))).min()) for m in odd]
+    keys = [xxh64_intdigest(repr(least[b * ROWS:(b + 1) * ROWS])) for b in range(BANDS)]
+    return majority(hashes), np.array(keys, np.uint64).view(np.int64), sketch
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sketches are those of sets with a Jaccard similarity of ``threshold``."""
+    every = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:  # not whole sets: the smallest hashes of both together
+        every = every[:SKETCH]
+    both = np.intersect1d(a, b, assume_unique=True)
+    both = both[both <= every[-1]] if len(every) else both
+    return len(both) >= threshold * len(every) - 1e-9
+
+
+def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 20,
+                  block: int = 1024) -> DataFrame:
+    """(doc_id, text_hash, root) of every row: rows have the same root if links of texts with
+    similar shingle sets connect them. Equal texts are compared once."""
+    ws = Workspace(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def start():
+        def step(batch):
+            marks = [shingle_marks(t, width) for t in batch.column(2).to_pylist()]
+            return {"doc_id": batch.column(0), "text_hash": batch.column(1),
+                    "fp": np.array([m[0] for m in marks], np.uint64).view(np.int64),
+                    "keys": [m[1] for m in marks], "sketch": [m[2].tobytes() for m in marks]}
+        return step
+
+    marks = ws.cut(map_batches(
+        rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), start,
+        "doc_id long, text_hash long, fp long, keys array<bigint>, sketch binary"), "marks")
+    keyed = (marks.dropDuplicates(["text_hash"])
+             .select("text_hash", "fp", "sketch", F.posexplode("keys").alias("band", "key")))
+    counts = marks.select("text_hash", F.posexplode("keys").alias("band", "key")).distinct()
+    large = ws.cut(counts.groupBy("band", "key").agg(F.count("*").alias("n"))
+                   .where(F.col("n") > block), "large")
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
+    at = ["band", "key", "i", "j"]
+    groups = (keyed.join(large, ["band", "key"], "left")
+              .select("text_hash", "fp", "sketch", "band", "key",
+                      F.pmod(F.xxhash64("text_hash"), parts).cast("int").alias("i"),
+                      parts.alias("parts"))
+              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select(F.col("band").cast("long").alias("band"), "key",
+                      F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"),
+                      "text_hash", "fp", "sketch"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def numbers(part, names):
+            return np.stack([part.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
+                             for n in names], 1)
+
+        def give(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            part = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            place = numbers(part, at)
+            ids = np.cumsum(np.r_[0, (place[1:] != place[:-1]).any(axis=1)])
+            node, fps = numbers(part, ["text_hash", "fp"]).T.copy()
+            sketches = part.column("sketch")
+
+            def same(i, j):
+                a, b = (np.frombuffer(sketches[int(x)].as_py(), np.uint32) for x in (i, j))
+                return similar(a, b, threshold)
+
+            found = node[forest(ids, fps.view(np.uint64), radius, same)]
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])],
+                                              ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = numbers(batch, at)
+            other = np.flatnonzero((place != place[-1]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+            if cut:
+                yield give([*held, batch.slice(0, cut)])
+                held = [batch.slice(cut)]
+            elif held and (numbers(held[-1].slice(0, 1), at) != place[-1:]).any():
+                yield give(held)
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield give(held)
+
+    dealt = groups.repartition(*at).sortWithinPartitions(*at)
+    found = dealt.mapInArrow(find, "a long, b long").distinct()
+    roots = components(ws, found)
+    return marks.select("doc_id", "text_hash").join(
+        roots, marks.text_hash == roots.node, "left").select(
+        "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that represent their group of similar texts, with all columns.
 
     That is the row of the smallest ``doc_id`` (then text hash); of rows that repeat both,
-    one stays. A row without ``doc_id`` stays only if its whole component has none.
+    one stays. A row without ``doc_id`` stays only if its whole group has none. All texts
+    without words are one group.
     """
     ws = Workspace(docs.sparkSession)
-    found = ws.cut(near_duplicates(docs, width, radius), "near")
+    found = ws.cut(similar_texts(docs, width, threshold), "near")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    # Components of rows without any id are told apart by fingerprint.
-    name = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f")]
-    best = found.groupBy(*name).agg(F.min(order).alias("best"))
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
     kept = best.select("best.doc_id", "best.text_hash")
     counts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     stay = counts.join(kept, counts.doc_id.eqNullSafe(kept.doc_id)

@@ -6,7 +6,7 @@ import xxhash
 from latent.llm import simhash
 from latent.llm.components import components
 from latent.session import Workspace
-from tests.llm.conftest import rows_of
+from tests.llm.conftest import prose, rows_of, texts
 
 
 def plain_print(text, width=3):
@@ -79,12 +79,53 @@ def test_large_and_split_buckets(spark):
     assert len(simhash.forest(np.zeros(len(small), int), small, 3)) < len(small)
 
 
+def shingle_set(text, width=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i:i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+
+
+def plain_groups(texts, threshold=0.8):
+    """Smallest id of each id's group, by comparing all texts."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    like = lambda a, b: len(a & b) >= threshold * len(a | b) if a | b else True
+    out, left = {}, sorted(texts)
+    while left:
+        part, queue = set(), [left[0]]
+        while queue:
+            one = queue.pop()
+            near = [i for i in left if i == one or like(sets[i], sets[one])]
+            left = [i for i in left if i not in near]
+            part |= set(near)
+            queue += near
+        out |= dict.fromkeys(part, min(part))
+    return out
+
+
+def test_similar_texts_equal_brute_force(spark):
+    r, texts = random.Random(8), {}
+    for i in range(120):  # copies with a few words changed, about the threshold and above
+        words = prose(i // 4, 150).split()
+        for at in r.sample(range(150), (i % 4) * 2):
+            words[at] = f"new{i}"
+        texts[i] = " ".join(words)
+    texts |= {200 + i: prose(500, 160) + f" tail{i}" for i in range(150)}  # one large group
+    texts |= {400: "", 401: None, 402: "a b", 403: "A  B"}
+    for block in (1024, 20):
+        rows = simhash.similar_texts(rows_of(spark, texts), block=block).collect()
+        groups = {}
+        for row in rows:
+            groups.setdefault(row.root, set()).add(row.doc_id)
+        want = {}
+        for i, top in plain_groups(texts).items():
+            want.setdefault(top, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
 def test_one_of_each(spark, odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    named = simhash.near_duplicates(odd)
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert set(ids) >= {r.component_id for r in named.collect()} - {None}
+    assert set(ids) >= set(plain_groups(texts()).values())
     assert not {20, 21, 25, 31, 34, 42, 41} & set(ids) and ids.count(5) == 1
     assert simhash.one_of_each(none).count() == 0
     twice = rows_of(spark, {1: "a b c d e", 2: "x y z u v"})
