@@ -13,9 +13,9 @@ A group gives a spanning forest of its links, never all pairs: reachability is k
 ``one_of_each`` asks for texts whose sets of five-word shingles have a similarity of 0.8 or
 more. Their fingerprints differ in some ten bits, far too many for blocks of equal bits, so
 its buckets are pairs of shingle minima, which texts of similarity s share with probability
-s² each. In a bucket the fingerprints are compared as above, with a radius that all but one
-in some thousand of such pairs keep to, and what is left is verified on bottom-k sketches of
-the shingles, which are exact for texts of fewer than k shingles.
+s² each. All pairs of a bucket that links don't connect yet are verified, whatever their
+fingerprints, on bottom-k sketches of the distinct shingles, which are exact for texts of
+fewer than k shingles.
 """
 
 from __future__ import annotations
@@ -277,8 +277,8 @@ def shingle_marks(text: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     if not words:
         return 0, np.zeros(1, np.int64), np.empty(0, np.uint32)
     join, n = b" ".join, max(len(words) - width + 1, 1)
-    hashes = np.fromiter((xxh64_intdigest(join(words[i:i + width]), 42) for i in range(n)),
-                         np.uint64, n)
+    hashes = np.unique(np.fromiter(
+        (xxh64_intdigest(join(words[i:i + width]), 42) for i in range(n)), np.uint64, n))
     sketch = np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
     draw = np.random.default_rng(7)
     odd = draw.integers(0, 1 << 62, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -297,7 +297,7 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return len(both) >= threshold * len(every) - 1e-9
 
 
-def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 20,
+def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8,
                   block: int = 1024) -> DataFrame:
     """(doc_id, text_hash, root) of every row: rows have the same root if links of texts with
     similar shingle sets connect them. Equal texts are compared once."""
@@ -350,7 +350,7 @@ def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, radiu
                 a, b = (np.frombuffer(sketches[int(x)].as_py(), np.uint32) for x in (i, j))
                 return similar(a, b, threshold)
 
-            found = node[forest(ids, fps.view(np.uint64), radius, same)]
+            found = node[forest(ids, fps.view(np.uint64), BITS, same)]
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])],
                                               ["a", "b"])
 

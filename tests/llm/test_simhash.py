@@ -121,6 +121,18 @@ def test_similar_texts_equal_brute_force(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_repeats_do_not_hide_equal_shingle_sets(spark):
+    """Pairs with the same distinct shingles, one of which repeats a line 60 times."""
+    texts = {}
+    for i in range(40):
+        body, line = prose(i, 150), " " + prose(700 + i, 10)
+        texts |= {2 * i: body + line * 2, 2 * i + 1: body + line * 60}
+        assert shingle_set(texts[2 * i]) == shingle_set(texts[2 * i + 1])
+    rows = simhash.similar_texts(rows_of(spark, texts)).collect()
+    root = {r.doc_id: r.root for r in rows}
+    assert [i for i in range(40) if root[2 * i] != root[2 * i + 1]] == []
+
+
 def test_one_of_each(spark, odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
