@@ -133,6 +133,22 @@ def test_repeats_do_not_hide_equal_shingle_sets(spark):
     assert [i for i in range(40) if root[2 * i] != root[2 * i + 1]] == []
 
 
+def test_long_texts_about_the_threshold(spark):
+    """Pairs of 400 to 2000 words with similarities from 0.74 to 0.86."""
+    texts = {}
+    for i in range(120):
+        words = prose(i, 400 + 13 * i).split()
+        shift = len(words) * (0.74 + 0.12 * (i % 40) / 40)
+        tail = prose(5000 + i, len(words)).split()[int(2 * shift / (1 + shift / len(words))):]
+        texts |= {2 * i: " ".join(words), 2 * i + 1: " ".join(words[:len(words) - len(tail)] + tail)}
+    like = [len(a & b) / len(a | b) for a, b in ((shingle_set(texts[2 * i]), shingle_set(texts[2 * i + 1]))
+                                                 for i in range(120))]
+    assert sum(0.78 < x < 0.8 for x in like) > 10 and sum(0.8 <= x < 0.82 for x in like) > 10
+    rows = simhash.similar_texts(rows_of(spark, texts)).collect()
+    root = {row.doc_id: row.root for row in rows}
+    assert [root[2 * i] == root[2 * i + 1] for i in range(120)] == [x >= 0.8 for x in like]
+
+
 def test_one_of_each(spark, odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
