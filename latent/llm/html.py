@@ -8,7 +8,7 @@ within tasks first, so a host sends one wrapper for each task however many pages
 
 The wrapper tells template from content: the content slot is found by walking down from the
 root while one child holds most of the free text, that is text outside links and outside
-navigation, adverts, forms and the like; nodes inside it whose text is constant over many
+navigation, adverts, forms and the like, unless those hold more than all else; nodes inside it whose text is constant over many
 different articles are template. Each page is aligned with its host's wrapper, and the text
 blocks of the elements in the content slot are its main text.
 """
@@ -285,6 +285,31 @@ def content_slot(root: Slot, most: float = 0.6) -> Slot:
         here = kid
 
 
+def spare(root: Slot) -> None:
+    """Hints and tags don't hide what holds the article: unless an article is in sight, the
+    slot beside with the most free text counts as content while it has more than all content."""
+    def full(slot: Slot) -> int:
+        hard = slot.beside and slot.label.split(".")[0] in BESIDE - {"form"}
+        return 0 if hard else slot.free + sum(map(full, slot.kids))
+
+    def hidden(slot: Slot) -> Iterator[Slot]:
+        for kid in slot.kids:
+            if kid.beside:
+                yield kid
+            else:
+                yield from hidden(kid)
+
+    def article(slot: Slot) -> bool:
+        return not slot.beside and (slot.label.split(".")[0] in ("article", "main")
+                                    and slot.weight() > 0 or any(map(article, slot.kids)))
+
+    while not article(root):
+        most = max(hidden(root), key=full, default=None)
+        if most is None or full(most) <= root.weight():
+            return
+        most.beside = False
+
+
 def align(page: Slot, wrapper: Slot, to: dict[int, Slot]) -> None:
     """Fill in the wrapper slot of every slot of a page that has one."""
     to[id(page)] = wrapper
@@ -300,10 +325,14 @@ def main_text(html: str, wrapper: Slot | None, articles: int = 8) -> str:
     page = outline([tree], home)
     to: dict[int, Slot] = {}
     if wrapper is not None:
+        spare(wrapper)
         align(page, wrapper, to)
+        for slot in home.values():
+            slot.beside = slot.beside and to.get(id(slot), slot).beside
     target = content_slot(wrapper) if wrapper is not None else None
     starts = [n for n in home if to.get(id(home[n])) is target] if target is not None else []
     if not starts or not any(home[n].weight() for n in starts):
+        spare(page)
         own = content_slot(page)  # a page unlike its host's others
         starts = [n for n in home if home[n] is own]
     region = to.get(id(home[starts[0]]))
@@ -311,8 +340,8 @@ def main_text(html: str, wrapper: Slot | None, articles: int = 8) -> str:
     blocks: list[str] = []
 
     def walk(node: Node) -> None:
-        slot = to.get(id(home[node])) if node in home else None
-        if node.beside or (varied and slot is not None and slot is not region and not slot.kids
+        slot = to.get(id(home[node]))
+        if home[node].beside or (varied and slot is not None and slot is not region and not slot.kids
                            and slot.pages >= max(articles, region.pages) and slot.text):
             return
         run: list[str] = []

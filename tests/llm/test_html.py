@@ -49,6 +49,25 @@ def test_wrapper_tells_template_from_content():
     assert html.main_text(other, wrapper) == prose(5, 50) + "\ncell"
 
 
+def test_hints_on_wrappers_of_the_article():
+    """Boxes around a whole page named like parts beside an article, and a whole-page form."""
+    inner = ("<{tag}><p>{a}</p><p>{b}</p></{tag}><div class='sidebar'><p>see {n}</p></div>"
+             "<div class='comments'><article><p>{n}</p></article></div>")
+    for box in ("div class='has-sidebar'", "div class='no-comments'", "form", "div id='share-enabled'",
+                "section class='post-with-banner'"):
+        for tag in ("article", "div"):
+            wrapper, pages = None, []
+            for i in range(10):
+                fill = {"tag": tag, "a": prose(i, 40), "b": prose(60 + i, 30), "n": prose(i, 4)}
+                pages.append(f"<html><body><{box}>{inner.format(**fill)}</{box.split()[0]}></body></html>")
+                one = html.outline([html.parse(pages[-1])])
+                wrapper = one if wrapper is None else html.merge(wrapper, one)
+            for known in (wrapper, None):
+                assert html.main_text(pages[3], known) == prose(3, 40) + "\n" + prose(63, 30), (box, tag)
+    normal = f"<html><body><div><p>{prose(1, 30)}</p></div><div class='comments'><p>{prose(2, 20)}</p></div>"
+    assert html.main_text(normal, None) == prose(1, 30)
+
+
 def test_copies_keep_their_article():
     body, want = page(1)
     wrapper = html.outline([html.parse(body)])
