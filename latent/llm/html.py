@@ -174,11 +174,11 @@ class Slot:
     beside: bool
     pages: int = 1
     free: int = 0          # characters of text outside links
-    text: int | None = 0   # hash of the text, None if it varies
+    texts: list = field(default_factory=list)  # [hash, pages] of the commonest texts, most first
     kids: list["Slot"] = field(default_factory=list)
 
     def dump(self) -> list:
-        return [self.label, self.beside, self.pages, self.free, self.text,
+        return [self.label, self.beside, self.pages, self.free, self.texts,
                 [k.dump() for k in self.kids]]
 
     @staticmethod
@@ -201,7 +201,7 @@ def outline(nodes: list[Node], home: dict[Node, Slot] | None = None) -> Slot:
     said = [" ".join(p[0].split()) for p in own]
     slot = Slot(nodes[0].label, nodes[0].beside, free=sum(
         len(t) for t, p in zip(said, own, strict=True) if not p[1]),
-        text=_hash([t for t in said if t]) if any(said) else 0)
+        texts=[[_hash([t for t in said if t]) if any(said) else 0, 1]])
     runs: list[list[Node]] = []
     for node in nodes:
         for child in node.children():
@@ -252,10 +252,30 @@ def agreement(a: Slot, b: Slot, memo: dict | None = None) -> int:
     return memo[key]
 
 
+def commonest(a: list, b: list, held: int = 8) -> list:
+    """[hash, pages] of both lists; beyond ``held`` all counts sink by the first one left out, so
+    a text of n of N pages keeps at least n − N / (held + 1)."""
+    counts: dict[int, int] = {}
+    for text, n in [*a, *b]:
+        counts[text] = counts.get(text, 0) + n
+    order = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    less = order[held][1] if len(order) > held else 0
+    return [[text, n - less] for text, n in order[:held] if n > less]
+
+
+def template(slot: Slot, region: Slot, share: float = 0.7) -> int:
+    """Hash of the text that most pages of the slot agree in, if most of the region's have the
+    slot; else zero. Five in six pages are enough, whatever else the others say."""
+    if slot.kids or not slot.texts or slot.pages < max(2, region.pages / 2):
+        return 0
+    text, n = slot.texts[0]
+    return text if n >= share * slot.pages else 0
+
+
 def merge(a: Slot, b: Slot) -> Slot:
     """Wrapper of the pages of both; nodes without a partner keep their place in order."""
     out = Slot(a.label, a.beside and b.beside, a.pages + b.pages, a.free + b.free,
-               a.text if a.text == b.text else None)
+               commonest(a.texts, b.texts))
     i = j = 0
     for x, y in [*match(a.kids, b.kids), (len(a.kids), len(b.kids))]:
         out.kids += a.kids[i:x] + b.kids[j:y]
@@ -317,9 +337,9 @@ def align(page: Slot, wrapper: Slot, to: dict[int, Slot]) -> None:
         align(page.kids[i], wrapper.kids[j], to)
 
 
-def main_text(html: str, wrapper: Slot | None, articles: int = 8) -> str:
-    """Main text of a page. Nodes of the content slot are template if their text is the same
-    on all of at least ``articles`` pages that have them and whose contents differ."""
+def main_text(html: str, wrapper: Slot | None) -> str:
+    """Main text of a page. Nodes of the content slot are template if they hold the text that
+    most pages have there, and the contents of the pages differ (two articles are enough)."""
     home: dict[Node, Slot] = {}
     tree = parse(html)
     page = outline([tree], home)
@@ -336,13 +356,14 @@ def main_text(html: str, wrapper: Slot | None, articles: int = 8) -> str:
         own = content_slot(page)  # a page unlike its host's others
         starts = [n for n in home if home[n] is own]
     region = to.get(id(home[starts[0]]))
-    varied = region is not None and region.pages >= articles and _varies(region)
+    varied = region is not None and region.pages > 1 and _varies(region)
     blocks: list[str] = []
 
     def walk(node: Node) -> None:
         slot = to.get(id(home[node]))
-        if home[node].beside or (varied and slot is not None and slot is not region and not slot.kids
-                           and slot.pages >= max(articles, region.pages) and slot.text):
+        if home[node].beside or (varied and slot is not None and slot is not region
+                                 and (text := template(slot, region))
+                                 and home[node].texts[0][0] == text):
             return
         run: list[str] = []
         for part in node.parts:
@@ -367,7 +388,9 @@ def _preorder(node: Node) -> Iterator[Node]:
 
 
 def _varies(slot: Slot) -> bool:
-    return slot.text is None or any(_varies(k) for k in slot.kids if not k.beside)
+    """Whether no text below the slot holds for more than half of some node's pages."""
+    return (slot.pages > 1 and (not slot.texts or 2 * slot.texts[0][1] <= slot.pages)
+            or any(_varies(k) for k in slot.kids if not k.beside))
 
 
 # -- Spark jobs -----------------------------------------------------------------------

@@ -49,6 +49,25 @@ def test_wrapper_tells_template_from_content():
     assert html.main_text(other, wrapper) == prose(5, 50) + "\ncell"
 
 
+def test_template_on_most_pages_of_any_host():
+    """A notice that one page lacks and another alters is template on all others; hosts of two
+    pages have a template too."""
+    notice = "Printed on recycled paper"
+
+    def body(i, said):
+        return (f"<html><body><section><p>{prose(i, 80)}</p>" + said * (i != 5)
+                + f"<ul><li>{prose(70 + i, 60)}</ul></section>")
+    for n in (2, 5, 40, 300):
+        said = [f"<div>{'Other paper' if i == 7 else notice}</div>" for i in range(n)]
+        bodies, wrapper = [body(i, said[i]) for i in range(n)], None
+        for text in bodies:
+            one = html.outline([html.parse(text)])
+            wrapper = one if wrapper is None else html.merge(wrapper, one)
+        for i in range(min(n, 30)):
+            want = [prose(i, 80), *["Other paper"] * (i == 7), prose(70 + i, 60)]
+            assert html.main_text(bodies[i], wrapper) == "\n".join(want), (n, i)
+
+
 def test_hints_on_wrappers_of_the_article():
     """Boxes around a whole page named like parts beside an article, and a whole-page form."""
     inner = ("<{tag}><p>{a}</p><p>{b}</p></{tag}><div class='sidebar'><p>see {n}</p></div>"
