@@ -65,7 +65,8 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 5,
 
     Documents are told apart by ``doc_id`` and the hash of their text, so nulls and repeated
     ids don't mix; rows that repeat both are one document. Texts without words hold nothing;
-    items without words never leak. Different items of one id give a row each.
+    items without words never leak. An item of fewer than ``width`` words leaks only into a document
+    of just those words. Different items of one id give a row each.
     """
     ws = Workspace(docs.sparkSession)
     asked = ws.cut(query_set(items, width, threshold)
