@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import bpe, decontaminate, html, licences, lm, shard, simhash, sketch, toxicity, warc
+from latent.llm import (bpe, decontaminate, html, licences, lm, pii, shard, simhash, sketch, toxicity,
+                        warc)
 from latent.llm.common import fold_of, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,8 @@ def op9(spark, sf_dir):
 @query("op10_bpe")
 def op10(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), byte_bpe_path())
+
+
+@query("op11_pii")
+def op11(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
