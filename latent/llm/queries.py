@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latent.llm import (bpe, decontaminate, html, licences, lm, pii, shard, simhash, sketch, toxicity,
-                        warc)
+                        variants, warc)
 from latent.llm.common import fold_of, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op10(spark, sf_dir):
 @query("op11_pii")
 def op11(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op12_variants")
+def op12(spark, sf_dir):
+    return variants.group(table(spark, sf_dir, "documents"))
