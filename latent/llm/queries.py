@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.llm import (bpe, decontaminate, html, licences, lm, pii, shard, simhash, sketch, toxicity,
-                        variants, warc)
+from latent.llm import (align, bpe, decontaminate, html, licences, lm, pii, shard, simhash, sketch,
+                        toxicity, variants, warc)
 from latent.llm.common import fold_of, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_bpe_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op1_toxicity")
 def op1(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -120,3 +125,8 @@ def op11(spark, sf_dir):
 @query("op12_variants")
 def op12(spark, sf_dir):
     return variants.group(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents"), byte_bpe_path(), piece_bpe_path())
