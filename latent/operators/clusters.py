@@ -142,6 +142,11 @@ def score_soft_clusters(sites: DataFrame, vcells: DataFrame, terms: DataFrame,
     return old.unionByName(new)
 
 
+def plugin_gain(beta: float) -> Column:
+    """What a term the cluster has adds to its plug-in weight, for ``shared_gain``."""
+    return F.expr(f"n * (ln(_rest + {sql(beta)}) - ln({sql(beta)}))")
+
+
 def score_mixture(sites: DataFrame, signal: DataFrame, terms: DataFrame, clusters: DataFrame,
                   prior: str, xi: float, k: int, alpha: float, beta: float, beta_sum: float,
                   n_docs: int, n_noise: int, hot=()) -> DataFrame:
@@ -150,8 +155,7 @@ def score_mixture(sites: DataFrame, signal: DataFrame, terms: DataFrame, cluster
     ``signal`` holds the documents' signal cells, ``sites`` also the full length ``n_doc``.
     Only terms the cluster has add to the data term; the others cost ln β each.
     """
-    gain = shared_gain(sites, signal, terms,
-                       F.expr(f"n * (ln(_rest + {sql(beta)}) - ln({sql(beta)}))"), hot)
+    gain = shared_gain(sites, signal, terms, plugin_gain(beta), hot)
     base = _against(sites, clusters)
     if prior == "dirichlet":
         weight = F.ln(xi + F.col("ndsum")) - F.ln(F.lit(k * xi + n_docs))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latent.functions.mathx import polya_gain
 from latent.functions.sites import DOC, POS, TERM, site_integer
+from latent.operators.buckets import bucket_draw, polya_base, polya_fresh
 from latent.operators.clusters import (cluster_sizes, cluster_terms, mh_accept_feature,
-                                       move_feature, open_views, propose_views, score_clusters,
-                                       score_new_cluster, score_soft_clusters, sites_of,
-                                       view_cells)
+                                       move_feature, open_views, propose_views, shared_gain,
+                                       sites_of, view_cells)
 from latent.operators.corpus import Corpus, batch_of, binarize, check_eta_sum, expand_tokens
 from latent.operators.likelihood import ll_crosscat, ll_soft_crosscat
 from latent.plans.arrival import doc_waves, wave_count
@@ -34,8 +35,24 @@ class ViewModel(Model):
         self.alpha, self.eta, self.xi = alpha, eta, xi
         self.eta_sum = check_eta_sum(corpus.n_terms, eta)
 
-    def scorer(self, vcells: DataFrame):
-        raise NotImplementedError
+    def sites(self, members: DataFrame, pending: DataFrame, vcells: DataFrame,
+              sizes: DataFrame) -> DataFrame:
+        """Sites that draw, with ``may_found`` where they may ask for a new cluster."""
+        return pending_sites(members, pending, vcells).withColumn("may_found", F.lit(True))
+
+    def drawer(self, vcells: DataFrame):
+        def draw(members: DataFrame, pending: DataFrame, u) -> DataFrame:
+            terms = self.ws.cut(cluster_terms(vcells, members), "terms")
+            sizes = self.ws.cut(cluster_sizes(members, terms), "sizes")
+            sites = self.ws.cut(self.sites(members, pending, vcells, sizes), "sites")
+            gain = shared_gain(sites, vcells, terms, polya_gain(self.eta, "_rest", "n"),
+                               self.corpus.hot)
+            # One row a view, and views are a parameter.
+            free = [r[0] for r in open_views(sizes, self.kmax, self.noise_view).collect()]
+            fresh = F.when(F.col("may_found") & F.col("view").isin(free),
+                           F.expr(polya_fresh(self.alpha, self.eta_sum)))
+            return bucket_draw(self.ws, sites, gain, sizes, polya_base(self.eta_sum), fresh, u)
+        return draw
 
     def arrive(self, vcells: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members placed wave by wave, the first document alone in cluster 0 of every view."""
@@ -47,8 +64,8 @@ class ViewModel(Model):
         placed, draws = [self.ws.cut(first, "wave-0")], []
         for w in range(1, wave_count(self.corpus.n_docs) + 1):
             pending = sites.where(F.col("wave") == w).select("doc_id", "view")
-            drawn = draw_clusters(self.ws, whole(placed), pending, self.scorer(vcells),
-                                  self.kmax >= 0, run.seed, 0, w)
+            drawn = draw_clusters(self.ws, whole(placed), pending, self.drawer(vcells),
+                                  self.kmax, run.seed, 0, w)
             drawn = self.ws.cut(drawn, f"wave-{w}")
             draws.append(drawn)
             placed.append(self.unplaced(pending, drawn))
@@ -64,7 +81,7 @@ class ViewModel(Model):
     def renew_members(self, state: State, vcells: DataFrame, it: int, keep=None) -> State:
         def move(s: State, part: DataFrame, b: int) -> DataFrame:
             drawn = draw_clusters(self.ws, whole(s["members"]), part.select("doc_id", "view"),
-                                  self.scorer(vcells), self.kmax >= 0, self.run.seed, it, b)
+                                  self.drawer(vcells), self.kmax, self.run.seed, it, b)
             if keep is not None:
                 keep.append(drawn)
             return replace_members(part, drawn)
@@ -96,20 +113,6 @@ class CrossCat(ViewModel):
                          feature_move_rate=feature_move_rate)
         self.rate = feature_move_rate
 
-    def scorer(self, vcells: DataFrame):
-        denominator = F.lit(self.corpus.n_docs - 1 + self.alpha)
-
-        def score(members: DataFrame, pending: DataFrame) -> DataFrame:
-            terms = self.ws.cut(cluster_terms(vcells, members), "terms")
-            sizes = self.ws.cut(cluster_sizes(members, terms), "sizes")
-            sites = self.ws.cut(pending_sites(members, pending, vcells), "sites")
-            old = score_clusters(sites, vcells, terms, sizes, self.alpha, self.eta, self.eta_sum,
-                                 denominator, self.corpus.hot)
-            new = score_new_cluster(sites, vcells, open_views(sizes, self.kmax, self.noise_view),
-                                    self.alpha, self.eta, self.eta_sum, denominator)
-            return old.unionByName(new)
-        return score
-
     def start(self) -> State:
         views = site_integer(self.views, self.run.seed, "view", TERM).cast("long")
         term_views = self.ws.cut(self.corpus.vocab.select("term", views.alias("view")),
@@ -165,14 +168,13 @@ class SoftCrossCat(ViewModel):
         self.marginal, self.fixed_views = implementation == "marginal", fixed_views
         self.draw_ll = 0.0
 
-    def scorer(self, vcells: DataFrame):
-        def score(members: DataFrame, pending: DataFrame) -> DataFrame:
-            terms = self.ws.cut(cluster_terms(vcells, members), "terms")
-            sizes = self.ws.cut(cluster_sizes(members, terms), "sizes")
-            sites = self.ws.cut(pending_sites(members, pending, vcells), "sites")
-            return score_soft_clusters(sites, vcells, terms, sizes, self.alpha, self.eta,
-                                       self.eta_sum, self.kmax, self.noise_view, self.corpus.hot)
-        return score
+    def sites(self, members: DataFrame, pending: DataFrame, vcells: DataFrame,
+              sizes: DataFrame) -> DataFrame:
+        """Sites without a token in the view don't draw; a document alone founds no cluster."""
+        held = sizes.select("view", F.col("cluster").alias("home"), F.col("ndsum").alias("_held"))
+        return (pending_sites(members, pending, vcells).where(F.col("k") > 0)
+                .join(held, ["view", "home"], "left")
+                .withColumn("may_found", F.coalesce(F.col("_held") > 1, F.lit(True))).drop("_held"))
 
     def view_counts(self, state: State) -> DataFrame:
         return (whole(state["tokens"]).groupBy("doc_id", "term", F.col("z").cast("long")

@@ -56,9 +56,11 @@ def test_segment_draw_equals_row_draw():
     assert (sites.draw_rows(w, u) == sites.draw_segments(w.ravel(), offsets, u)).all()
 
 
-def test_stick_weights_sum_below_one():
+def test_stick_weights_sum_to_one():
+    """The last level takes what the levels above have left of the stick."""
     w = kernels.stick_weights(np.array([[3.0, 2.0, 1.0], [0.0, 0.0, 4.0]]), 0.5, 10.0)
-    assert (w > 0).all() and (w.sum(axis=1) < 1).all()
+    assert (w > 0).all() and np.allclose(w.sum(axis=1), 1)
+    assert np.allclose(w[:, -1], 1 - w[:, :-1].sum(axis=1))
 
 
 def test_gaussian_moments(spark):
