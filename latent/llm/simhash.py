@@ -11,11 +11,13 @@ is split into blocks, and each pair of blocks is a group of its own, so no group
 A group gives a spanning forest of its links, never all pairs: reachability is kept.
 
 ``one_of_each`` asks for texts whose sets of five-word shingles have a similarity of 0.8 or
-more. Their fingerprints differ in some ten bits, far too many for blocks of equal bits, so
-its buckets are pairs of shingle minima, which texts of similarity s share with probability
-s² each. All pairs of a bucket that links don't connect yet are verified on the whole sets of
-distinct shingles, so no link is wrong, and a pair is missed only if it shares none of the
-``BANDS`` buckets (0.36^10, four in 100,000 pairs at 0.8, fewer above).
+more. Candidates are the links of bit-sliced comparison of fingerprints over distinct
+shingles, and, as such texts may differ in ten bits and more, texts that share one of
+``BANDS`` keys of four shingle minima (similarity s shares a key with probability s⁴, so a pair
+at 0.8 is missed in 0.59^28, four of ten million cases). Only keys move. Texts that candidates
+connect are one class; its whole shingle sets meet once and all its pairs that links don't
+connect yet are compared exactly, so no link is wrong. A class too large for one task is cut
+into pairs of blocks, of the class or of its buckets, whichever moves less.
 """
 
 from __future__ import annotations
@@ -259,7 +261,7 @@ def hex_of(fp: str) -> Column:
 
 # -- texts of similar shingle sets ----------------------------------------------------
 
-BANDS, ROWS = 10, 2
+BANDS, ROWS = 28, 4
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -320,34 +322,77 @@ def similar_sets(sets: list[np.ndarray], threshold: float) -> list[tuple[int, in
     return found
 
 
-def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, block: int = 1024,
-                  hashes: int = 1 << 21) -> DataFrame:
-    """(doc_id, text_hash, root) of every row: rows have the same root if links of texts with
-    similar shingle sets connect them. Equal texts are compared once. A bucket of more than
-    ``block`` texts or ``hashes`` shingles is split."""
-    ws = Workspace(docs.sparkSession)
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
+def marked(ws: Workspace, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_hash, n, fp, keys) of every row: distinct shingles, their fingerprint, and
+    the keys of their minima."""
+    rows = _texts_of(docs)
 
     def start():
         def step(batch):
             sets = [shingle_set(t, width) for t in batch.column(2).to_pylist()]
             return {"doc_id": batch.column(0), "text_hash": batch.column(1),
-                    "n": [len(s) for s in sets], "keys": [bucket_keys(s) for s in sets]}
+                    "n": [len(s) for s in sets], "keys": [bucket_keys(s) for s in sets],
+                    "fp": np.array([majority(s) for s in sets], np.uint64).view(np.int64)}
         return step
 
-    marks = ws.cut(map_batches(
-        rows, start, "doc_id long, text_hash long, n long, keys array<bigint>"), "marks")
-    # Sets are built, and texts moved, only for texts that share a bucket with another one.
-    keyed = (marks.dropDuplicates(["text_hash"])
-             .select("text_hash", "n", F.posexplode("keys").alias("band", "key")))
-    shared = (keyed.groupBy("band", "key")
-              .agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where("texts > 1")
-              .select("band", "key", F.ceil(F.greatest(
-                  F.col("texts") / block, F.col("size") / hashes)).cast("int").alias("parts")))
-    places = ws.cut(keyed.join(shared, ["band", "key"]).groupBy("text_hash").agg(
-        F.collect_list(F.struct("band", "key", "parts")).alias("places")), "places")
+    return ws.cut(map_batches(rows, start, "doc_id long, text_hash long, n long, fp long, "
+                              "keys array<bigint>"), "marks")
+
+
+def _texts_of(docs: DataFrame) -> DataFrame:
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+            .select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
+
+
+def candidate_classes(ws: Workspace, unique: DataFrame, keyed: DataFrame, radius: int = 3):
+    """Classes (node, root) of texts that candidates connect, and the buckets with several texts.
+
+    A bucket's or fingerprint's texts hang on the least of them, so links are as many as
+    memberships, however large a bucket is.
+    """
+    shared = ws.cut(keyed.groupBy("band", "key").agg(
+        F.count("*").alias("texts"), F.sum("n").alias("size"), F.min("text_hash").alias("hub"),
+        F.sum(F.col("text_hash").cast("decimal(38,0)")).alias("mark")).where("texts > 1"), "shared")
+    stars = keyed.join(shared.select("band", "key", "hub"), ["band", "key"]).select(
+        F.col("text_hash").alias("a"), F.col("hub").alias("b"))
+    prints = ws.cut(unique.groupBy("fp").agg(F.min("text_hash").alias("hub")), "prints")
+    equal = unique.join(prints, "fp").select(F.col("text_hash").alias("a"), F.col("hub").alias("b"))
+    near = links(ws, prints.select("fp"), radius)
+    ends = [prints.select(F.col("fp").alias(side), F.col("hub").alias(f"{side}_hub")) for side in "ab"]
+    close = near.join(ends[0], "a").join(ends[1], "b").select(
+        F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    found = components(ws, stars.unionByName(equal).unionByName(close))
+    tops = found.select(F.col("root").alias("node"), "root").distinct()
+    return ws.cut(found.unionByName(tops), "classes"), shared
+
+
+def similar_classes(ws: Workspace, docs: DataFrame, marks: DataFrame, width: int, threshold: float,
+                    block: int, hashes: int) -> DataFrame:
+    """(node, root) of every text hash that a link of similar shingle sets reaches."""
+    unique = ws.cut(marks.select("text_hash", "n", "fp", "keys").dropDuplicates(["text_hash"]), "unique")
+    keyed = unique.select("text_hash", "n", F.posexplode("keys").alias("band", "key"))
+    classes, shared = candidate_classes(ws, unique, keyed)
+
+    def parts(texts, size):
+        return F.ceil(F.greatest(F.col(texts) / block, F.col(size) / hashes)).cast("int")
+
+    sized = unique.join(classes, unique.text_hash == classes.node).select("text_hash", "n", "root")
+    whole = ws.cut(sized.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("size"))
+                   .withColumn("parts", parts("texts", "size")), "class-sizes")
+    # Buckets of the same texts need comparing once.
+    buckets = (shared.groupBy("texts", "size", "hub", "mark").agg(F.min(F.struct("band", "key")).alias("at"))
+               .select("at.band", "at.key", F.col("hub").alias("node"), "texts", parts("texts", "size").alias("parts")))
+    dealt = ws.cut(buckets.join(classes, "node").join(whole.where("parts > 1").select("root"), "root")
+                   .select("root", "band", "key", "texts", "parts"), "buckets")
+    costs = dealt.groupBy("root").agg(F.sum(F.col("texts") * F.col("parts")).alias("cost"))
+    split = whole.join(costs, "root").where(F.col("cost") < F.col("texts") * F.col("parts")).select("root")
+    by_class = (sized.join(whole.join(split, "root", "left_anti").select("root", "parts"), "root")
+                .select("text_hash", F.struct(F.lit(-1).alias("band"), F.col("root").alias("key"), "parts").alias("p")))
+    by_bucket = (keyed.join(dealt.join(split, "root", "left_semi").select("band", "key", "parts"), ["band", "key"])
+                 .select("text_hash", F.struct("band", "key", "parts").alias("p")))
+    places = ws.cut(by_class.unionByName(by_bucket).groupBy("text_hash").agg(
+        F.collect_list("p").alias("places")), "places")  # at most one, or one a band
 
     def build():
         def step(batch):
@@ -356,8 +401,8 @@ def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, block
                                  for t in batch.column(2).to_pylist()]}
         return step
 
-    texts = rows.select("text_hash", "text").join(places.select("text_hash"), "text_hash",
-                                                  "left_semi").dropDuplicates(["text_hash"])
+    texts = _texts_of(docs).select("text_hash", "text").join(
+        places.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
     sets = map_batches(texts.join(places, "text_hash").select("text_hash", "places", "text"), build,
                        "text_hash long, places array<struct<band:int,key:bigint,parts:int>>, "
                        "shingles binary")
@@ -393,15 +438,25 @@ def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, block
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                          ["a", "b"])
 
-    dealt = groups.repartition(*at).sortWithinPartitions(*at)
-    found = dealt.mapInArrow(find, "a long, b long").distinct()
-    roots = components(ws, found)
+    sorted_groups = groups.repartition(*at).sortWithinPartitions(*at)
+    return components(ws, sorted_groups.mapInArrow(find, "a long, b long").distinct())
+
+
+def similar_texts(docs: DataFrame, width: int = 5, threshold: float = 0.8, block: int = 1024,
+                  hashes: int = 1 << 21) -> DataFrame:
+    """(doc_id, text_hash, root) of every row: rows have the same root if links of texts with
+    similar shingle sets connect them. Equal texts are compared once. A class of more than
+    ``block`` texts or ``hashes`` shingles is split."""
+    ws = Workspace(docs.sparkSession)
+    marks = marked(ws, docs, width)
+    roots = similar_classes(ws, docs, marks, width, threshold, block, hashes)
     return marks.select("doc_id", "text_hash").join(
         roots, marks.text_hash == roots.node, "left").select(
         "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("root"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, block: int = 1024,
+                hashes: int = 1 << 21) -> DataFrame:
     """The rows of ``docs`` that represent their group of similar texts, with all columns.
 
     That is the row of the smallest ``doc_id`` (then text hash); of rows that repeat both,
@@ -409,10 +464,17 @@ def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     without words are one group.
     """
     ws = Workspace(docs.sparkSession)
-    found = ws.cut(similar_texts(docs, width, threshold), "near")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    best = found.groupBy("root").agg(F.min(order).alias("best"))
-    kept = best.select("best.doc_id", "best.text_hash")
+    found = marked(ws, docs, width)
+    roots = similar_classes(ws, docs, found, width, threshold, block, hashes)
+    # Copies of a text fold into one row before anything is joined on the text.
+    texts = found.groupBy("text_hash").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("least"))
+    rooted = texts.join(roots, texts.text_hash == roots.node, "left").select(
+        F.coalesce("root", "text_hash").alias("root"),
+        F.struct("least.last", "least.doc_id", "text_hash").alias("order"))
+    kept = rooted.groupBy("root").agg(F.min("order").alias("best")).select(
+        "best.doc_id", "best.text_hash")
+    kept = ws.cut(kept, "kept")
     counts = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     stay = counts.join(kept, counts.doc_id.eqNullSafe(kept.doc_id)
                        & (counts.text_hash == kept.text_hash), "left_semi")
