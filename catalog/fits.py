@@ -107,6 +107,12 @@ def _(s, d):
     return traced(lda.fit_lda(doc_cells(s, d), 10, run=Run(seed=3, batches=2, max_sweeps=2)))
 
 
+@entry("fit_lda_proposals")
+def _(s, d):
+    """Many topics by Metropolis proposals, whose cost does not depend on their number."""
+    return traced(lda.fit_lda(doc_cells(s, d), 300, run=Run(seed=3, batches=2, max_sweeps=2), proposals=3))
+
+
 @entry("fit_lda_preassigned")
 def _(s, d):
     cells = brand_cells(s, d)
