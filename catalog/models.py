@@ -635,6 +635,16 @@ def _(s, d):
     return structure.ancestors(source_edges(s, d))
 
 
+@entry("list_ranks", """select c_custkey as node, max(c_custkey) over () as tail, row_number() over (order by c_custkey desc) - 1 as dist
+from customer qualify dist > 0""")
+def _(s, d):
+    """All customers in one chain by key, ranked by pointer doubling."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("upper"))
+    chain = c.join(c.select((F.col("upper") - 1).alias("_at"), F.col("upper").alias("lower")),
+                   F.col("upper") == F.col("_at"))
+    return structure.list_ranks(chain.select("upper", "lower"), Workspace(s))
+
+
 @entry("ancestor_topics", f"""with recursive {DAG}, {CLOSURE} select distinct doc_id, ancestor as topic
 from documents join walk on node = source""")
 def _(s, d):

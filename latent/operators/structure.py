@@ -30,13 +30,27 @@ def tree_nodes(edges: DataFrame) -> DataFrame:
         edges.select(F.col("parent").alias("node"))).distinct()
 
 
+def list_ranks(links: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, tail, dist) of every ``upper`` of chains (upper, lower), in which each node has one
+    lower and one upper at most. Pointers double, so a chain of n takes log n rounds."""
+    now = ws.cut(links.select(F.col("upper").alias("node"), F.col("lower").alias("tail"),
+                              F.lit(1).cast("long").alias("dist")), "ranks")
+    while True:
+        ahead = now.select(F.col("node").alias("tail"), F.col("tail").alias("_tail"),
+                           F.col("dist").alias("_dist"))
+        if now.join(ahead, "tail", "left_semi").isEmpty():
+            return now
+        now = ws.cut(now.join(ahead, "tail", "left").select(
+            "node", F.coalesce("_tail", "tail").alias("tail"),
+            (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")), "ranks")
+
+
 def contract_tree(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Simplify a hierarchy to a fix-point; returns (nodes(node, label), edges(child, parent)).
 
     A node with exactly one child is merged into it when that child has no other parent and
     children of its own; the label then names both. When nothing merges, childless ``wn_``
-    nodes go. Each round handles the topmost node of every mergeable chain, so rounds are
-    bounded by depth.
+    nodes go. Each round merges whole chains, ranked by pointer doubling.
     """
     links = ws.cut(edges.select("child", "parent").distinct(), "links")
     nodes = ws.cut(tree_nodes(links).withColumn("label", F.col("node")), "labels")
@@ -51,22 +65,20 @@ def contract_tree(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame
                  .join(links.select(F.col("parent").alias("only")).distinct(), "only", "left_semi")
                  .select(F.col("parent").alias("upper"), F.col("only").alias("lower")))
         merge = ws.cut(merge, "merge")
-        topmost = merge.join(merge.select(F.col("lower").alias("upper")), "upper", "left_anti")
         if not merge.isEmpty():
-            lower = topmost.select(F.col("lower").alias("node"), "upper")
-            upper_label = nodes.select(F.col("node").alias("upper"),
-                                       F.col("label").alias("upper_label"))
-            relabelled = (nodes.join(lower, "node", "left").join(upper_label, "upper", "left")
-                          .select("node", F.when(F.col("upper").isNotNull(), F.concat_ws(
-                              MERGE_MARK, "upper_label", "label")).otherwise(F.col("label"))
-                              .alias("label")))
-            gone = topmost.select(F.col("upper").alias("node"))
-            new_nodes = relabelled.join(gone, "node", "left_anti")
-            moved = topmost.select(F.col("upper").alias("child"), "lower")
-            new_links = (links.join(topmost.select(F.col("upper").alias("parent")), "parent",
-                                    "left_anti")
-                         .join(moved, "child", "left")
-                         .select(F.coalesce("lower", "child").alias("child"), "parent"))
+            ranks = list_ranks(merge, ws)
+            tails = ranks.select(F.col("tail").alias("node"), "tail", F.lit(0).cast("long").alias("dist")).distinct()
+            # From the head of the chain to its tail.
+            label = F.array_join(F.sort_array(F.collect_list(F.struct(
+                (-F.col("dist")).alias("at"), "label")))["label"], MERGE_MARK)
+            named = ranks.unionByName(tails).join(nodes, "node").groupBy("tail").agg(label.alias("_label"))
+            new_nodes = (nodes.join(ranks.select("node"), "node", "left_anti")
+                         .join(named.withColumnRenamed("tail", "node"), "node", "left")
+                         .select("node", F.coalesce("_label", "label").alias("label")))
+            # Links below a merged node are the chain's own; what hung on its head gets the tail.
+            new_links = (links.join(ranks.select(F.col("node").alias("parent")), "parent", "left_anti")
+                         .join(ranks.select(F.col("node").alias("child"), "tail"), "child", "left")
+                         .select(F.coalesce("tail", "child").alias("child"), "parent"))
         else:
             bare = (nodes.where(F.col("label").startswith("wn_"))
                     .join(links.select(F.col("parent").alias("node")), "node", "left_anti")
@@ -79,49 +91,54 @@ def contract_tree(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame
         nodes, links = ws.cut(new_nodes, "labels"), ws.cut(new_links, "links")
 
 
+def _doubled(hop: DataFrame, ws: Workspace) -> DataFrame:
+    """(child, parent) pairs twice as many links apart."""
+    far = hop.select(F.col("child").alias("_mid"), F.col("parent").alias("_top"))
+    return ws.cut(hop.join(far, F.col("parent") == F.col("_mid")).select(
+        "child", F.col("_top").alias("parent")).distinct(), "hops")
+
+
 def fail_on_cycle(links: DataFrame, ws: Workspace) -> None:
     """An error if following (child, parent) links upwards never ends for some node.
 
-    Nodes without a parent left are taken away, level by level; what can't be is a cycle.
+    A walk of as many links as there are nodes has passed one of them twice.
     """
-    left = links.select("child", "parent")
-    while not left.isEmpty():
-        top = left.select(F.col("parent").alias("child")).distinct().join(
-            left.select("child"), "child", "left_anti").withColumnRenamed("child", "parent")
-        rest = ws.cut(left.join(top, "parent", "left_anti").select("child", "parent"), "rest")
-        if top.isEmpty():
-            raise ValueError(f"the hierarchy has a cycle through {rest.first()['child']}")
-        left = rest
+    n, step, hop = tree_nodes(links).count(), 1, links.select("child", "parent").distinct()
+    while not hop.isEmpty():
+        if step >= n:
+            raise ValueError(f"the hierarchy has a cycle above {hop.first()['child']}")
+        hop, step = _doubled(hop, ws), 2 * step
 
 
-def ancestors(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """(node, ancestor, distance) for every node, itself at 0; the least distance is kept.
+def ancestors(edges: DataFrame, ws: Workspace | None = None,
+              nodes: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, distance), itself at 0, the least distance kept; for all nodes of the
+    hierarchy or those of ``nodes`` (node).
 
-    A frontier of (node, ancestor) pairs climbs one edge per round, until no pair is new.
+    Hops double in length and what a node reaches is extended by each, so a hierarchy of depth
+    d takes log d rounds.
     """
     ws = ws or Workspace(edges.sparkSession)
-    up = ws.cut(edges.select("child", "parent").distinct(), "up")
-    known = ws.cut(tree_nodes(up).select("node", F.col("node").alias("ancestor"),
-                                         F.lit(0).alias("distance")), "closure")
-    frontier, parts, step = known, [known], 0
-    while True:
-        step += 1
-        climbed = (frontier.join(up, F.col("ancestor") == F.col("child"))
-                   .select("node", F.col("parent").alias("ancestor")).distinct())
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
-        frontier = ws.cut(climbed.join(seen, ["node", "ancestor"], "left_anti")
-                          .withColumn("distance", F.lit(step)), "closure")
-        if frontier.isEmpty():
-            return seen
-        parts.append(frontier)
+    hop = ws.cut(edges.select("child", "parent").distinct(), "up")
+    every = ws.cut(tree_nodes(hop), "nodes")
+    asked = every if nodes is None else every.join(nodes.select("node").distinct(), "node", "left_semi")
+    reach = asked.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    n, step = every.count(), 1
+    while step < n and not hop.isEmpty():
+        climbed = reach.join(hop, F.col("ancestor") == F.col("child")).select(
+            "node", F.col("parent").alias("ancestor"), (F.col("distance") + step).alias("distance"))
+        reach = ws.cut(reach.unionByName(climbed).groupBy("node", "ancestor").agg(
+            F.min("distance").alias("distance")), "closure")
+        step *= 2
+        if step < n:
+            hop = _doubled(hop, ws)
+    return reach
 
 
 def ancestor_topics(doc_nodes: DataFrame, edges: DataFrame, fold_non_wn: bool = False,
                     ws: Workspace | None = None) -> DataFrame:
     """A document's topics: its node and all ancestors, each once; optionally only ``wn_``."""
-    topics = (doc_nodes.join(ancestors(edges, ws), "node")
+    topics = (doc_nodes.join(ancestors(edges, ws, doc_nodes), "node")
               .select("doc_id", F.col("ancestor").alias("topic")).distinct())
     return topics.where(F.col("topic").startswith("wn_")) if fold_non_wn else topics
 
@@ -139,22 +156,23 @@ def root_paths(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """
     ws = ws or Workspace(edges.sparkSession)
     up = ws.cut(edges.select("child", "parent").distinct(), "up")
-    open_paths = tree_nodes(up).select("node", F.col("node").alias("last"),
-                                       F.array("node").alias("path"))
-    done = None
+    start = tree_nodes(up).join(up.withColumnRenamed("child", "node"), "node", "left").select(
+        "node", "parent", F.array_compact(F.array("node", "parent")).alias("path"))
     while True:
-        open_paths = ws.cut(open_paths, "open")
-        ended = open_paths.join(up.select(F.col("child").alias("last")), "last", "left_anti")
-        done = ended.select("node", "path") if done is None else done.unionByName(
-            ended.select("node", "path"))
-        if open_paths.isEmpty():
-            return done
-        again = F.array_contains("path", F.col("parent"))
-        last = F.coalesce(F.when(again, F.raise_error(F.concat(
-            F.lit("the hierarchy has a cycle through "), "parent"))), F.col("parent"))
-        open_paths = (open_paths.join(up.withColumnRenamed("child", "last"), "last")
-                      .select("node", last.alias("last"),
-                              F.concat("path", F.array("parent")).alias("path")))
+        # A path ends at a root, or goes on at its last node, where it meets all paths of that.
+        paths = ws.cut(start.select("node", F.col("parent").alias("last"), "path"), "paths")
+        on = paths.where(F.col("last").isNotNull())
+        if on.isEmpty():
+            return paths.select("node", "path")
+        more = paths.select(F.col("node").alias("last"), F.col("last").alias("parent"),
+                            F.slice("path", F.lit(2), F.size("path")).alias("_rest"))
+        again = F.arrays_overlap("path", "_rest")
+        joined = on.join(more, "last").select(
+            "node", "parent", F.when(again, F.raise_error(F.concat(
+                F.lit("the hierarchy has a cycle through "), "last"))).otherwise(
+                F.concat("path", "_rest")).alias("path"))
+        start = joined.unionByName(paths.where(F.col("last").isNull()).select(
+            "node", F.col("last").alias("parent"), "path"))
 
 
 def sense_paths(doc_nodes: DataFrame, edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -163,7 +181,9 @@ def sense_paths(doc_nodes: DataFrame, edges: DataFrame, ws: Workspace | None = N
     Senses count from 0 by node and parent, over all nodes of a document; levels run from the
     root side to the document.
     """
-    closure = ancestors(edges, ws)
+    senses = doc_nodes.select(F.col("node").alias("child")).join(edges, "child").select(
+        F.col("parent").alias("node"))
+    closure = ancestors(edges, ws, senses)
     freq = F.coalesce("freq", F.lit(1.0)) if "freq" in edges.columns else F.lit(1.0)
     listed = Window.partitionBy("doc_id").orderBy("node", "parent")
     direct = (doc_nodes.join(edges.withColumn("freq", freq).withColumnRenamed("child", "node"),

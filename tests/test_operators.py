@@ -88,3 +88,22 @@ def test_top_pairs_are_bounded(spark):
     nt = spark.range(300).select((F.col("id") % 3).cast("string").alias("node_id"),
                                  F.concat(F.lit("t"), "id").alias("term"), F.col("id").alias("n"))
     assert windows.top_term_pairs(nt, 4).count() == 18
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 10_000
+    chain = spark.range(n - 1).select(F.format_string("v%05d", "id").alias("child"),
+                                      F.format_string("v%05d", F.col("id") + 1).alias("parent"))
+    ws = Workspace(spark)
+    asked = spark.createDataFrame([("v00000",), ("v09990",)], "node string")
+    far = structure.ancestors(chain, ws, asked).groupBy("node").agg(
+        F.count("*").alias("n"), F.max("distance").alias("d")).collect()
+    assert {r["node"]: (r["n"], r["d"]) for r in far} == {"v00000": (n, n - 1), "v09990": (10, 9)}
+    assert ws._serial <= 2 + 2 * 14
+    ws = Workspace(spark)
+    nodes, links = structure.contract_tree(chain, ws)
+    # All but the childless end fold into the node above it.
+    assert sorted(r["node"] for r in nodes.collect()) == ["v00000", "v00001"] and links.count() == 1
+    folded = nodes.where("node = 'v00001'").first()["label"].split(structure.MERGE_MARK)
+    assert folded == [f"v{i:05d}" for i in range(n - 1, 0, -1)]
+    assert ws._serial <= 60
