@@ -11,10 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from latent.functions.mathx import lgamma_col, lgamma_sql, log_bessel_i, polya_empty, polya_gain, sql
-from latent.functions.sites import TERM, flat, site_integer, site_uniform
+from latent.functions.sites import TERM, site_integer, site_uniform
 from latent.operators.corpus import spread_join
 
 NEW = -1
@@ -254,8 +253,71 @@ def move_feature(term_views: DataFrame, accepted: DataFrame) -> DataFrame:
             .withColumn("view", F.coalesce("_to", "view")).drop("_to"))
 
 
-# Means are sent to tasks in blocks of this many, so no closure grows with their number.
-MEAN_BLOCK = 1024
+# Means and vectors meet in blocks of about so many rows each.
+MEAN_BLOCK, VECTOR_BLOCK = 1024, 4096
+# Fixed values of the mixer below: odd, under 2^31, so that products stay in 64 signed bits.
+MIX = (1_640_531_527, 2_146_121_005, 1_566_083_941)
+
+
+def pair_uniform(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """A keyed uniform in (0, 1) for every pair of two columns of whole numbers."""
+    word = 1 << 32
+
+    def mixed(h):
+        for shift, c in ((16, MIX[1]), (15, MIX[2])):
+            h = (h ^ (h >> shift)) * c % word
+        return h ^ (h >> 16)
+    high = mixed((a[:, None] * MIX[0] % word + mixed(b % word)[None, :] + seed) % word)
+    low = mixed((high + 1) % word)
+    return (high * float(1 << 20) + low // 4096 + 0.5) / float(1 << 52)
+
+
+def _blocked(vectors: DataFrame, members: DataFrame, weighted: DataFrame, kappa: float, p: int, keep,
+             schema: str) -> DataFrame:
+    """``keep(vec_ids, clusters, log_weights)`` of every block of vectors against every block of
+    ``weighted`` (cluster, mu, w, w_own) means; blocks meet as groups, no row leaves the executors."""
+    const = vectors.sparkSession.range(1).select(
+        ((p / 2.0) * F.ln(F.lit(kappa / (2 * np.pi))) - F.ln(F.lit(float(kappa)))
+         - log_bessel_i(p / 2.0 - 1.0, kappa)).alias("c")).first()[0]
+    n_means = -(-weighted.count() // MEAN_BLOCK) or 1
+    n_vectors = -(-vectors.count() // VECTOR_BLOCK) or 1
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = (vectors.join(members.select("vec_id", F.col("cluster").alias("home")), "vec_id", "left")
+            .select("vec_id", "home", F.col("embedding").cast("array<double>").alias("embedding"),
+                    F.pmod(F.xxhash64("vec_id"), F.lit(n_vectors)).alias("chunk"))
+            .withColumn("block", every(n_means)))
+    right = (weighted.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(n_means)))
+             .withColumn("chunk", every(n_vectors)))
+
+    def meet(v: pa.Table, m: pa.Table) -> pa.Table:
+        m = m.combine_chunks().sort_by("cluster")
+        v = v.combine_chunks()
+        ids, own = (c.to_numpy() for c in (m.column("cluster"), m.column("w_own").fill_null(-np.inf)))
+        at = v.column("home").fill_null(-(2 ** 62)).to_numpy()
+        x, mus = (np.asarray(t.column(c).combine_chunks().flatten()).reshape(-1, p)
+                  for t, c in ((v, "embedding"), (m, "mu")))
+        lw = kappa * (x @ mus.T) + const + np.where(
+            at[:, None] == ids[None, :], own[None, :], m.column("w").to_numpy()[None, :])
+        return keep(v.column("vec_id").to_numpy(), ids, lw)
+    return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(meet, schema)
+
+
+def _weighted(members: DataFrame, means: DataFrame, alpha: float, n: int,
+              fresh: np.ndarray | None) -> DataFrame:
+    """Means with the log prior of a vector outside and, null if alone, of a member."""
+    base = float(np.log(n - 1 + alpha))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    out = means.join(sizes, "cluster").select(
+        F.col("cluster").cast("long").alias("cluster"), "mu", (F.ln("size") - base).alias("w"),
+        F.when(F.col("size") > 1, F.ln(F.col("size") - 1) - base).alias("w_own"))
+    if fresh is None:
+        return out
+    w = float(np.log(alpha / len(fresh)) - base)
+    rows = [(-1 - i, [float(x) for x in mu], w, w) for i, mu in enumerate(fresh)]
+    return out.unionByName(means.sparkSession.createDataFrame(
+        rows, "cluster long, mu array<double>, w double, w_own double"))
 
 
 def score_vmf(vectors: DataFrame, members: DataFrame, means: DataFrame, kappa: float,
@@ -264,55 +326,25 @@ def score_vmf(vectors: DataFrame, members: DataFrame, means: DataFrame, kappa: f
 
     Rows of ``fresh`` are auxiliary means, each weighted α/m, offered as clusters −1, −2, ….
     """
-    const = vectors.sparkSession.range(1).select(
-        ((p / 2.0) * F.ln(F.lit(kappa / (2 * np.pi))) - F.ln(F.lit(float(kappa)))
-         - log_bessel_i(p / 2.0 - 1.0, kappa)).alias("c")).first()[0]
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    rows = means.join(sizes, "cluster").select("cluster", "mu", "size").toLocalIterator()
-    scored = None
-    here = vectors.join(members.select("vec_id", F.col("cluster").alias("home")), "vec_id", "left")
-
-    def block(ids, mus, logs, lone) -> DataFrame:
-        ids, mus = np.asarray(ids, dtype=np.int64), np.asarray(mus, dtype=float)
-        logs, lone = np.asarray(logs), np.asarray(lone)
-
-        @arrow_udf("array<struct<cluster:long,log_weight:double>>")
-        def weigh(v: pa.Array, home: pa.Array) -> pa.Array:
-            x = flat(v, p).astype(float)
-            at = home.fill_null(-(2 ** 62)).to_numpy(zero_copy_only=False)
-            own = at[:, None] == ids[None, :]
-            lw = kappa * (x @ mus.T) + const + np.where(own, lone, logs)
-            keep = np.isfinite(lw)
-            offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
-            each = pa.StructArray.from_arrays(
-                [pa.array(np.broadcast_to(ids, lw.shape)[keep]), pa.array(lw[keep])],
-                ["cluster", "log_weight"])
-            return pa.ListArray.from_arrays(pa.array(offsets), each)
-
-        return here.select("vec_id", F.explode(weigh("embedding", "home")).alias("s")).select(
-            "vec_id", "s.cluster", "s.log_weight")
-
-    base = np.log(n - 1 + alpha)
-    pending: list = []
-
-    def flush():
-        nonlocal scored, pending
-        size = np.array([r["size"] for r in pending], dtype=float)
-        with np.errstate(divide="ignore"):
-            part = block([r["cluster"] for r in pending], [r["mu"] for r in pending],
-                         np.log(size) - base, np.log(size - 1) - base)
-        scored = part if scored is None else scored.unionByName(part)
-        pending = []
-
-    for row in rows:
-        pending.append(row)
-        if len(pending) == MEAN_BLOCK:
-            flush()
-    if pending:
-        flush()
-    if fresh is not None:
-        m = len(fresh)
-        weight = np.full(m, np.log(alpha / m) - base)
-        part = block(-1 - np.arange(m), fresh, weight, weight)
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+    def listed(vec_ids, ids, lw):
+        i, j = np.nonzero(np.isfinite(lw))
+        return pa.table({"vec_id": vec_ids[i], "cluster": ids[j], "log_weight": lw[i, j]})
+    return _blocked(vectors, members, _weighted(members, means, alpha, n, fresh), kappa, p, listed,
+                    "vec_id long, cluster long, log_weight double")
+
+
+def draw_vmf(vectors: DataFrame, members: DataFrame, means: DataFrame, kappa: float, alpha: float,
+             n: int, p: int, seed: int, fresh: np.ndarray | None = None) -> DataFrame:
+    """(vec_id, cluster): a draw in proportion to ``score_vmf``, the best of log weight plus keyed
+    Gumbel noise. A block gives one winner a vector; the winners of all blocks give the draw."""
+    def winners(vec_ids, ids, lw):
+        with np.errstate(invalid="ignore"):
+            value = lw - np.log(-np.log(pair_uniform(vec_ids, ids, seed)))
+        best = np.argmax(value, axis=1) if value.size else np.zeros(0, np.int64)
+        some = np.flatnonzero(np.isfinite(value[np.arange(len(best)), best])) if value.size else best
+        return pa.table({"vec_id": vec_ids[some], "cluster": ids[best[some]],
+                         "value": value[some, best[some]]})
+    each = _blocked(vectors, members, _weighted(members, means, alpha, n, fresh), kappa, p, winners,
+                    "vec_id long, cluster long, value double")
+    return each.groupBy("vec_id").agg(F.max(F.struct("value", "cluster")).alias("b")).select(
+        "vec_id", F.col("b.cluster").alias("cluster"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from latent.functions.mathx import dp_size_logp, l2_normalize, vmf_logp
-from latent.functions.sites import Key, flat, sample_site, site_integer, site_uniform
-from latent.operators.clusters import score_vmf
+from latent.functions.sites import Key, flat, site_integer, site_uniform
+from latent.operators.clusters import draw_vmf
 from latent.operators.corpus import batch_of
 from latent.operators.windows import tune_proposal
 from latent.plans.loop import Fitted, Model, Run, State, fit, whole
@@ -96,9 +96,8 @@ class VMF(Model):
             part = state["members"][b]
             fresh = self.prior_means([f"{seed}|{it}|{b}|{j}" for j in range(AUXILIARY)])
             mine = self.vectors.join(part.select("vec_id"), "vec_id", "left_semi")
-            scores = score_vmf(mine, members, means, self.kappa, self.alpha, self.n, self.p, fresh)
-            u = site_uniform(seed, it, "c", Key("vec_id"))
-            drawn = sample_site(scores, ["vec_id"], "cluster", u)
+            drawn = draw_vmf(mine, members, means, self.kappa, self.alpha, self.n, self.p,
+                             (seed * 1_000_003 + it * 1009 + b) % (1 << 32), fresh)
             new_id = F.lit(fresh_id(it, b, 0)) - 1 - F.col("cluster")
             to = F.when(F.col("cluster") < 0, new_id).otherwise(F.col("cluster"))
             moved = self.ws.cut(part.join(
