@@ -186,11 +186,16 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     import pyarrow.fs as fs
     spark = pages.sparkSession
     ws, rows = Workspace(spark), _rows(pages)
-    taken = (rows.where(F.length("payload").between(1, sample_bytes))
-             .orderBy(F.xxhash64("digest"), "digest").limit(samples).collect())
+    # Digests of the least hashes are chosen first, so that only payloads of the sample move.
+    fit = rows.where(F.length("payload").between(1, sample_bytes))
+    least = [r[0] for r in fit.select("digest").distinct().orderBy(F.xxhash64("digest"), "digest")
+             .limit(samples).collect()]
+    taken = (fit.where(F.col("digest").isin(least)).groupBy("digest").agg(
+        F.min(F.struct("page_id", "url")).alias("at"), F.first("payload").alias("payload"))
+        .orderBy("digest").collect())
     dictionary = train_dictionary([record(
-        r.page_id, r.url, bytes(r.payload), base32(bytes.fromhex(r.digest)), None, False, date)
-        for r in taken])
+        r["at"].page_id, r["at"].url, bytes(r.payload), base32(bytes.fromhex(r.digest)), None, False,
+        date) for r in taken])
     revisits = responses(ws, rows, min_bytes).withColumnsRenamed(
         {"page_id": "_id", "digest": "_digest"}).withColumn("revisit", F.lit(True))
     joined = rows.join(revisits, rows.page_id.eqNullSafe(F.col("_id"))
@@ -203,12 +208,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
         store.create_dir(root, recursive=True)
         coder = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(dictionary))
         task, serial, out = TaskContext.get().partitionId(), 0, None
+        attempt = uuid.uuid4().hex[:12]
         done: dict[str, list] = {"path": [], "records": []}
 
         def close():
             nonlocal out, serial
             out.close()
-            name = f"part-{task:06d}-{serial:04d}.warc.zst"
+            # An attempt has names of its own, and only the winner's are listed.
+            name = f"part-{task:06d}-{serial:04d}-{attempt}.warc.zst"
             store.move(temporary, f"{root}/{name}")
             done["path"].append(f"{folder}/{name}")
             done["records"].append(held)
@@ -257,7 +264,9 @@ def read_archives(archives: DataFrame, payload: bool = False, batch: int = 2000)
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     struct_type = archives.sparkSession.createDataFrame([], shape).schema
-    return archives.select("path").repartition("path").mapInArrow(read, shape)
+    # A given number of partitions stays as it is, so archives are read by as many tasks.
+    n = max(1, archives.count())
+    return archives.select("path").repartition(n, "path").mapInArrow(read, shape)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
