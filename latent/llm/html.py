@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -85,19 +86,38 @@ def _node(tag: str, attrs: str, inside: bool) -> Node:
     return Node(tag, label, beside)
 
 
+# Blocks nested deeper hang on the last one above, as in browsers; their text stays in place.
+DEEP = 200
+
+
 def parse(html: str) -> Node:
     """Tree of a page. Missing end tags end where HTML says or with their parent."""
     root = Node("#", "#", False)
     stack, inline, at, n = [root], [], 0, len(html)
     links = articles = 0
+    standing: Counter = Counter()      # open blocks by tag, so that none is looked for in vain
+    closes: dict[str, int | None] = {}
+
+    def host() -> Node:
+        return stack[min(len(stack) - 1, DEEP)]
 
     def text(raw: str) -> None:
         if raw:
-            stack[-1].parts.append((entities.unescape(raw) if "&" in raw else raw, links > 0))
+            host().parts.append((entities.unescape(raw) if "&" in raw else raw, links > 0))
+
+    def close_of(name: str) -> int | None:
+        """Where the next end tag of the name stands."""
+        if name not in closes or (closes[name] is not None and closes[name] < at):
+            found = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+            closes[name] = found.start() if found else None
+        return closes[name]
 
     def pop(to: int) -> None:
         nonlocal articles, links
         articles -= sum(x.tag in ("article", "main") for x in stack[to:])
+        standing.subtract(x.tag for x in stack[to:])
+        if to > DEEP:                  # what follows is no part of the block that ends here
+            host().parts.append(Node("#", "#", False))
         del stack[to:]
         while inline and inline[-1][0] > to:  # inline elements end with their block
             links -= inline.pop()[1] == "a"
@@ -115,7 +135,7 @@ def parse(html: str) -> Node:
         name = name.lower()
         if m["end"]:
             if name in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1 if standing[name] else 0, 0, -1):
                     if stack[i].tag == name:
                         pop(i)
                         break
@@ -128,18 +148,18 @@ def parse(html: str) -> Node:
                     if name == "br":
                         text(" ")
         elif name in RAW:  # everything up to the end tag is no markup
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
-            at = close.start() if close else n
-            stack[-1].parts.append(Node(name, name, True))
+            close = close_of(name)
+            at = n if close is None else close
+            host().parts.append(Node(name, name, True))
         elif name in BLOCK:
-            if name in ENDS_P:
+            if name in ENDS_P and standing["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
                         pop(i)
                         break
                     if stack[i].tag in ("td", "th", "table", "button"):
                         break
-            if name in CLOSES:
+            if name in CLOSES and any(standing[t] for t in CLOSES[name]):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in CLOSES[name]:
                         pop(i)
@@ -148,14 +168,14 @@ def parse(html: str) -> Node:
                     elif stack[i].tag in SCOPE.get(name, ()):
                         break
             node = _node(name, m["attrs"], articles > 0)
-            stack[-1].parts.append(node)
+            host().parts.append(node)
             if name not in VOID:
                 stack.append(node)
+                standing[name] += 1
                 articles += name in ("article", "main")
         elif name in BESIDE:  # inline parts without text of their own, such as buttons
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
-            if close and not m["attrs"].endswith("/"):
-                at = close.start()
+            if not m["attrs"].endswith("/") and (close := close_of(name)) is not None:
+                at = close
         elif name in VOID:
             if name == "br":
                 text(" ")

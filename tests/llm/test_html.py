@@ -1,3 +1,5 @@
+import time
+
 from latent.llm import html
 from tests.llm.conftest import prose
 
@@ -110,3 +112,24 @@ def test_broken_markup():
              "<div title='a>b'>t</div>": "t", "<ul><li>a<ul><li>b</ul><li>c</ul>": "a\nb\nc"}
     for source, want in cases.items():
         assert html.main_text(source, None) == want, source
+
+
+def test_deep_and_unclosed_pages_are_read_in_time(spark):
+    deep = "<div>" * 20_000 + "<p>down here</p> and after" + "</div>" * 20_000 + "<p>outside</p>"
+    buttons = "<article><p>start" + "<button>x" * 20_000 + "</article>"
+    paragraphs = "<article>" + "<p>one two" * 20_000 + "</article>"
+    rows = [(i, f"http://{h}.example/{i}", t) for h in ("a", "b") for i, t in enumerate(
+        [deep, buttons, paragraphs, "<article><p>plain</article>"], 10 * (h == "b"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    began = time.time()
+    got = {r.page_id: r.text for r in html.main_texts(pages).collect()}
+    assert time.time() - began < 90 and len(got) == 8
+    assert got[2].count("one two") == 20_000 and "start" in got[1] and got[3] == "plain"
+    tree = html.parse(deep)
+    found, level = [], [(tree, 0)]
+    while level:
+        node, depth = level.pop()
+        assert depth <= html.DEEP + 1
+        found += [p[0] for p in node.parts if not isinstance(p, html.Node)]
+        level += [(c, depth + 1) for c in node.children()]
+    assert "down here" in found and " and after" in found and "outside" in found
