@@ -250,12 +250,13 @@ def _(s, d):
 select node_id, term, count(*) as n from tokens t join paths p on t.doc_id = p.doc_id and t.z = p.level
 group by node_id, term""")
 def _(s, d):
-    """Customers' tokens on the levels of a tree, written as a sample and read back."""
+    """Customers' tokens on the levels of a tree, written as a sample of several lines a large node
+    and read back."""
     ws = Workspace(s)
     cells = brand_cells(s, d)
     names = docs_in(cells).withColumn("name", F.concat(F.lit("c"), "doc_id"))
     sinks.export_tree_sample(tokens_of(cells, 3), paths_of(cells), names, sinks.header_line(
-        -1.0, -1.0, 0, 10, 0.1, 0.1, 1.0, 3), f"{ws.path}/tree")
+        -1.0, -1.0, 0, 10, 0.1, 0.1, 1.0, 3), f"{ws.path}/tree", line_items=400)
     return samples.read_tree_samples(s, f"{ws.path}/tree")["node_terms"].select("node_id", "term", "n")
 
 

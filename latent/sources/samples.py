@@ -32,7 +32,10 @@ def _items(column):
 
 
 def read_tree_samples(spark: SparkSession, paths) -> dict[str, DataFrame]:
-    """headers, nodes, node_terms, node_docs and edges of saved tree samples."""
+    """headers, nodes, node_terms, node_docs and edges of saved tree samples.
+
+    A node may have several lines; what they list is united.
+    """
     lines = spark.read.text(paths).select(F.input_file_name().alias("sample"), "value")
     body = (lines.where(~F.col("value").startswith("ll =") & (F.trim("value") != ""))
             .select("sample", F.split("value", r"\|\|").alias("f")).where(F.size("f") == 6)
@@ -49,7 +52,7 @@ def read_tree_samples(spark: SparkSession, paths) -> dict[str, DataFrame]:
     docs = parts("docs").select("sample", "node_id", F.split("item", PART).alias("p"))
     return {
         "headers": _header(lines),
-        "nodes": body.select("sample", "node_id", "label", "ndsum"),
+        "nodes": body.select("sample", "node_id", "label", "ndsum").distinct(),
         "node_terms": terms.select("sample", "node_id", F.col("p")[0].alias("term"),
                                    F.col("p")[1].cast("long").alias("n")),
         "node_docs": docs.select("sample", "node_id", F.col("p")[0].cast("long").alias("doc_id"),

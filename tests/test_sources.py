@@ -94,13 +94,17 @@ def named(cells):
     return cells.select("doc_id").distinct().withColumn("name", F.concat(F.lit("d"), "doc_id"))
 
 
-def test_tree_sample_round_trip(spark, planted, tmp_path):
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_tree_sample_round_trip(spark, planted, tmp_path, most):
     tokens = expand_tokens(planted).withColumn("z", site_integer(2, 0, DOC, TERM, POS))
     leaf = F.concat(F.lit("r/"), F.col("doc_id") % 2)
     paths = graft_paths(planted.select("doc_id").distinct().select(
         "doc_id", leaf.alias("node_id")), 2, F.lit("0"))
     header = sinks.header_line(-10.5, -9.25, 3, 3, 0.1, 0.2, 1.0, 2)
-    sinks.export_tree_sample(tokens, paths, named(planted), header, str(tmp_path / "s"))
+    sinks.export_tree_sample(tokens, paths, named(planted), header, str(tmp_path / "s"), most)
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "s")).collect()]
+    held = [line.split("||") for line in lines if not line.startswith("ll")]
+    assert max(f[4].count("@@@") // 2 for f in held) <= 16 and (len(held) > 3) == (most == 3)
     back = samples.read_tree_samples(spark, str(tmp_path / "s"))
     h = back["headers"].first()
     assert (h["ll"], h["best_ll"], h["best_iter"], h["alpha"], h["eta"], h["gamma"], h["depth"]) == (
@@ -111,11 +115,14 @@ def test_tree_sample_round_trip(spark, planted, tmp_path):
         "node_id", "term", "n").collect()))
     assert {tuple(r) for r in back["edges"].select("parent_id", "child_id").collect()} == {
         ("r", "r/0"), ("r", "r/1")}
-    assert {r["node_id"]: r["ndsum"] for r in back["nodes"].collect()} == {
-        "r": 16, "r/0": 8, "r/1": 8}
+    assert sorted((r["node_id"], r["ndsum"]) for r in back["nodes"].collect()) == [
+        ("r", 16), ("r/0", 8), ("r/1", 8)]
+    held = back["node_docs"].groupBy("node_id").agg(F.count("*").alias("d"), F.sum("n").alias("n"))
+    assert held.agg(F.sum("n")).first()[0] == tokens.count()
 
 
-def test_labeled_round_trip(spark, planted, tmp_path):
+@pytest.mark.parametrize("most", [2, 100_000])
+def test_labeled_round_trip(spark, planted, tmp_path, most):
     topics = planted.select("doc_id").distinct().select("doc_id", F.explode(F.array(
         F.lit("all"), F.concat(F.lit("t"), F.col("doc_id") % 2))).alias("topic"))
     slots = as_slots(topics, 0.1)
@@ -123,7 +130,7 @@ def test_labeled_round_trip(spark, planted, tmp_path):
     ids = sinks.term_ids(vocab_counts(planted))
     topic_ids = sinks.export_dictionary(slots, named(planted), ids, str(tmp_path / "dict"))
     sinks.export_labeled_sample(tokens, slots, topic_ids, ids, sinks.header_line(
-        -1.0, -1.0, 1, 3, 0.1, 0.1, None, 2), str(tmp_path / "sample"))
+        -1.0, -1.0, 1, 3, 0.1, 0.1, None, 2), str(tmp_path / "sample"), most)
     back = samples.read_labeled_samples(spark, samples.read_dictionary(spark, str(tmp_path / "dict")),
                                         str(tmp_path / "sample"))
     want = tokens.join(slots.withColumnRenamed("slot", "z"), ["doc_id", "z"]).groupBy(
