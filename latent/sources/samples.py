@@ -113,9 +113,20 @@ def read_labeled_samples(spark: SparkSession, dictionary: dict[str, DataFrame],
     }
 
 
-def glob_samples(prefix: str, mode: str) -> str:
-    """Path pattern of text samples: the best state, or the periodic ones."""
-    return f"{prefix}{ {'map': '*-best*', 'bayes': '*-sample*'}[mode] }"
+def glob_samples(spark: SparkSession, prefix: str, mode: str, keep: int = 20) -> list[str]:
+    """Paths of saved text samples whose names begin with ``prefix``: the best states (``map``) or
+    the last ``keep`` periodic ones by name (``bayes``). None at all is an error.
+
+    The list is bounded by ``keep``; the readers take it as their paths.
+    """
+    pattern = prefix + {"map": "*-best*", "bayes": "*-sample*"}[mode]
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(pattern)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(str(f.getPath().toString()) for f in store.globStatus(target) or [])
+    if not found:
+        raise FileNotFoundError(f"no saved sample matches {pattern}")
+    return found[-keep:]
 
 
 def read_states(spark: SparkSession, path: str, table: str) -> DataFrame:

@@ -151,3 +151,17 @@ def test_table_exports(spark, planted, tmp_path):
     assert spark.read.csv(str(tmp_path / "sc/tokens"), sep="\t").count() == tokens.count()
     sinks.export_mixture(members, tokens, named(planted), str(tmp_path / "mx"))
     assert spark.read.text(str(tmp_path / "mx/noise")).count() == 16
+
+
+def test_samples_are_chosen_by_name(spark, tmp_path):
+    for i in (1, 2, 3, 10):
+        (tmp_path / f"run-sample-{i:05d}").write_text(f"r||all||{i}||\ta@@@{i}||||\n")
+    (tmp_path / "run-best").write_text("r||all||7||\ta@@@7||||\n")
+    (tmp_path / "other-sample-00099").write_text("r||all||9||||||\n")
+    last = samples.glob_samples(spark, f"{tmp_path}/run", "bayes", keep=2)
+    assert [p.rsplit("-", 1)[1] for p in last] == ["00003", "00010"]
+    read = samples.read_tree_samples(spark, last)["node_terms"]
+    assert sorted(r["n"] for r in read.collect()) == [3, 10]
+    assert len(samples.glob_samples(spark, f"{tmp_path}/run", "map")) == 1
+    with pytest.raises(FileNotFoundError):
+        samples.glob_samples(spark, f"{tmp_path}/none", "bayes")
