@@ -260,41 +260,43 @@ def _(s, d):
     return samples.read_tree_samples(s, f"{ws.path}/tree")["node_terms"].select("node_id", "term", "n")
 
 
-FOLD_IN = f"""with {tokens_sql(5, CELLS)}, {V_SUM},
+FOLD_IN = f"""with recursive {tokens_sql(5, CELLS)}, {V_SUM},
 nw as (select term, z, count(*) as nw from tokens group by all), tot as (select z, count(*) as nwsum from tokens group by z),
 bt as (select item_id as doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) as term,
   unnest(range(len(regexp_extract_all(lower(text), '\\p{{L}}+')))) as pos from benchmark),
-w as (select doc_id, b.term, pos, t.z, (0.1 + coalesce(nw, 0)) / (0.1 * v + nwsum) * 0.1 as w
-  from bt b, tot t left join nw on nw.term = b.term and nw.z = t.z, vs),
-cum as (select *, sum(w) over (partition by doc_id, term, pos order by z rows unbounded preceding) as c,
-  sum(w) over (partition by doc_id, term, pos) as tot from w)
-select doc_id, term, pos, min(z) filter (where c > {u_sql("'0'", "'fold'", "doc_id", "term", "pos")} * tot) as z from cum group by all"""
+site as (select doc_id, b.term, pos, {u_sql("'0'", "'fold'", "doc_id", "b.term", "pos")} as u,
+  list((0.1 + coalesce(nw, 0)) / (0.1 * v + nwsum) order by t.z) as w
+  from bt b, tot t left join nw on nw.term = b.term and nw.z = t.z, vs group by all),
+walk as (select doc_id, -1 as pos, null::varchar as term, null::bigint as z, [0.1, 0.1, 0.1, 0.1, 0.1]::double[] as nd
+  from (select distinct doc_id from site)
+  union all
+  select doc_id, pos, term, z, [nd[i] + if(i = z + 1, 1, 0) for i in range(1, 6)] from (
+    select *, len([i for i in range(1, 6) if list_sum(p[1:i]) <= u * list_sum(p)]) as z from (
+      select s.doc_id, s.pos, s.term, u, nd, [s.w[i] * nd[i] for i in range(1, 6)] as p
+      from walk join site s on s.doc_id = walk.doc_id and s.pos = walk.pos + 1)))
+select doc_id, term, pos, z from walk where pos >= 0"""
+
+
+def frozen_of(s, d, ws):
+    tokens = tokens_of(doc_cells(s, d), 5)
+    return fold.Frozen.of(tokens, 5, 0.1, 0.1, tokens.select("term").distinct().count(), ws)
 
 
 @entry("fold_in", FOLD_IN)
 def _(s, d):
-    """Benchmark items placed against topics of the documents."""
-    ws = Workspace(s)
-    tokens = tokens_of(doc_cells(s, d), 5)
-    v = tokens.select("term").distinct().count()
-    items = table(s, d, "benchmark").withColumnRenamed("item_id", "doc_id")
-    return fold.stream_fold_in(items, tokens, 5, 0.1, 0.1, v, ws)
+    """Benchmark items placed against topics of the documents, each token given those before it."""
+    return frozen_of(s, d, Workspace(s)).place(table(s, d, "benchmark"), doc_id="item_id")
 
 
 @entry("stream_fold_in", FOLD_IN)
 def _(s, d):
-    """The same as a stream: the table is read as files and appended to a parquet sink."""
+    """The same as a stream: the table is read as files, micro-batches are placed as they come."""
     ws = Workspace(s)
-    tokens = tokens_of(doc_cells(s, d), 5)
-    v = tokens.select("term").distinct().count()
-    schema = table(s, d, "benchmark").schema
-    stream = (s.readStream.schema(schema).option("pathGlobFilter", "benchmark.parquet").parquet(d)
-              .withColumnRenamed("item_id", "doc_id"))
-    placed = fold.stream_fold_in(stream, tokens, 5, 0.1, 0.1, v, ws)
-    query = (placed.writeStream.format("parquet").option("checkpointLocation", f"{ws.path}/cp")
-             .trigger(availableNow=True).start(f"{ws.path}/out"))
-    query.awaitTermination()
-    return s.read.parquet(f"{ws.path}/out")
+    stream = (s.readStream.schema(table(s, d, "benchmark").schema)
+              .option("pathGlobFilter", "benchmark.parquet").parquet(d))
+    fold.stream_fold_in(stream, frozen_of(s, d, ws), f"{ws.path}/out", f"{ws.path}/cp",
+                        doc_id="item_id").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{ws.path}/out").drop("batch")
 
 
 @entry("stream_fit")

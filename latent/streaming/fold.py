@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latent.functions.kernels import flat_draw
-from latent.functions.sites import DOC, POS, TERM, site_integer, site_uniform
+from latent.functions.sites import DOC, POS, TERM, flat, site_integer, site_uniform
 from latent.operators.corpus import WORD, Corpus, batch_of, expand_tokens
 from latent.operators.counts import topic_array
 from latent.plans.flat import redraw_topics, topic_totals, zeros
@@ -16,37 +19,92 @@ from latent.plans.loop import whole
 from latent.session import Workspace, delete, shared_root, subfolders
 
 
-def stream_cells(stream: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Occurrences (doc_id, term, pos) of whole texts, without an aggregate over the stream.
+def stream_cells(stream: DataFrame, doc_id: str, text: str, *kept: str) -> DataFrame:
+    """Occurrences (doc_id, term, pos, columns ``kept``) of whole texts, without an aggregate
+    over the stream.
 
     Each document arrives whole, so its occurrences are numbered inside its own row.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
-    return (stream.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(words)
-                          .alias("pos", "term")).select("doc_id", "term", "pos"))
-
-
-def fold_in(tokens: DataFrame, term_topics: DataFrame, totals: list[int], k: int, alpha: float,
-            eta: float, n_terms: int, seed: int) -> DataFrame:
-    """Topics for the tokens of new documents against frozen counts.
-
-    ``term_topics(term, nw)`` holds one count array per term. Only stateless operations are
-    used, so the same call serves a table and a stream; a document's own counts start at 0.
+    return (stream.select(F.col(doc_id).cast("long").alias("doc_id"), *kept, F.posexplode(words)
+                          .alias("pos", "term")).select("doc_id", "term", "pos", *kept))
+
+
+def _walk(k: int, alpha: float, eta: float, eta_sum: float, totals: list[int]):
+    """Kernel over tokens in the order of (row, pos): draws them one by one, and carries a
+    document's counts from each token to the next, from batch to batch too."""
+    below = eta_sum + np.asarray(totals, dtype=float)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, nd = None, np.full(k, float(alpha))
+        for batch in batches:
+            row, doc_id, term, pos, u, nw = batch.columns
+            word = (eta + flat(nw, k)) / below
+            rows, us = row.to_numpy(), u.to_numpy()
+            z = np.empty(len(rows), np.int32)
+            for i in range(len(rows)):
+                if rows[i] != last:
+                    last, nd = rows[i], np.full(k, float(alpha))
+                upto = np.cumsum(word[i] * nd)
+                z[i] = at = min(int(np.searchsorted(upto, us[i] * upto[-1], "right")), k - 1)
+                nd[at] += 1
+            yield pa.RecordBatch.from_arrays([doc_id, term, pos, pa.array(z)],
+                                             ["doc_id", "term", "pos", "z"])
+    return walk
+
+
+def fold_in(docs: DataFrame, term_topics: DataFrame, totals: list[int], k: int, alpha: float,
+            eta: float, n_terms: int, seed: int = 0, doc_id: str = "doc_id",
+            text: str = "text") -> DataFrame:
+    """Topics (doc_id, term, pos, z) for the tokens of new documents against frozen counts.
+
+    ``term_topics(term, nw)`` holds one count array per term. A token sees the topics of the
+    tokens before it in its document. Each row is a document of its own, also where ids repeat;
+    null and empty texts have no tokens; terms without counts weigh the same in all topics but
+    for their totals. A task holds the counts of one document at a time, whatever its length.
     """
-    u = site_uniform(seed, "fold", DOC, TERM, POS)
-    draw = flat_draw(k, alpha, n_terms * eta, totals)
-    z = draw(F.coalesce("nw", zeros(k)), zeros(k), F.lit(-1), F.lit(float(eta)), u)
-    return (tokens.join(term_topics, "term", "left").withColumn("z", z)
-            .select("doc_id", "term", "pos", "z"))
-
-
-def stream_fold_in(stream: DataFrame, tokens: DataFrame, k: int, alpha: float, eta: float,
-                   n_terms: int, ws: Workspace, seed: int = 0, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """Place arriving documents with a stream–static join against the fitted ``tokens``."""
-    nw = ws.cut(tokens.groupBy("term").agg(topic_array(k).alias("nw")), "frozen", pin=True)
-    totals = topic_totals(nw, k, "nw")
-    return fold_in(stream_cells(stream, doc_id, text), nw, totals, k, alpha, eta, n_terms, seed)
+    rows = stream_cells(docs.select(doc_id, text, F.monotonically_increasing_id().alias("_row")),
+                        doc_id, text, "_row")
+    sites = rows.join(term_topics, "term", "left").select(
+        "_row", "doc_id", "term", "pos", site_uniform(seed, "fold", DOC, TERM, POS).alias("u"),
+        F.coalesce("nw", zeros(k)).alias("nw"))
+    return (sites.repartition("_row").sortWithinPartitions("_row", "pos")
+            .mapInArrow(_walk(k, alpha, eta, n_terms * eta, totals),
+                        "doc_id long, term string, pos int, z int"))
+
+
+@dataclass
+class Frozen:
+    """The counts of a fitted flat model, against which documents are placed."""
+
+    term_topics: DataFrame
+    totals: list[int]
+    k: int
+    alpha: float
+    eta: float
+    n_terms: int
+
+    @classmethod
+    def of(cls, tokens: DataFrame, k: int, alpha: float, eta: float, n_terms: int,
+           ws: Workspace) -> "Frozen":
+        nw = ws.cut(tokens.groupBy("term").agg(topic_array(k).alias("nw")), "frozen", pin=True)
+        return cls(nw, topic_totals(nw, k, "nw"), k, alpha, eta, n_terms)
+
+    def place(self, docs: DataFrame, seed: int = 0, doc_id: str = "doc_id",
+              text: str = "text") -> DataFrame:
+        return fold_in(docs, self.term_topics, self.totals, self.k, self.alpha, self.eta,
+                       self.n_terms, seed, doc_id, text)
+
+
+def stream_fold_in(stream: DataFrame, frozen: Frozen, out: str, checkpoint: str, seed: int = 0,
+                   doc_id: str = "doc_id", text: str = "text"):
+    """Place arriving documents; each micro-batch is a table of its own under ``out``, as
+    ``batch=<id>``, which a replay of the batch writes again."""
+    def hook(docs: DataFrame, batch_id: int) -> None:
+        frozen.place(docs, seed, doc_id, text).write.mode("overwrite").parquet(
+            f"{out}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(hook).option("checkpointLocation", checkpoint)
 
 
 class WindowFit:
