@@ -835,3 +835,29 @@ def _(s, d):
     _, _, nt, nd = label_dists(s, d)
     return summary.smoothed_terms_observed(nd, nt, 30, 7, 0.1, 0.05).withColumn(
         "log_p", F.round("log_p", 5))
+
+
+BEST = f"""with {SMOOTH}, w as (select doc_id, node_id, (n + 0.1) / (sum(n) over (partition by doc_id) + 0.1 * 7) as p from nd),
+a as (select doc_id, term, round(ln(sum(p * (n + 0.05) / (wsum + 0.05 * 30))), 9) as log_p
+  from w join nt using (node_id) join wsum using (node_id) group by doc_id, term)"""
+
+
+def mixture_parts(s, d):
+    cells, _, nt, nd = label_dists(s, d)
+    return cells, summary.observed_shares(nd, 7, 0.1), summary.term_shares(nt, 30, 0.05)
+
+
+@entry("smoothed_cells", BEST + """
+select doc_id, term, round(log_p, 5) as log_p from a where (doc_id, term) in (select (doc_id, term) from tokens)""")
+def _(s, d):
+    """Likelihood of each document's own terms, no others."""
+    cells, shares, phi = mixture_parts(s, d)
+    return summary.smoothed_cells(shares, phi, cells).withColumn("log_p", F.round("log_p", 5))
+
+
+@entry("best_terms", BEST + """, r as (select *, row_number() over (partition by doc_id order by log_p desc, term) as rank from a)
+select doc_id, rank, term, round(log_p, 5) as log_p from r where rank <= 5""")
+def _(s, d):
+    """The five likeliest terms of each document by a threshold walk."""
+    _, shares, phi = mixture_parts(s, d)
+    return summary.best_terms(shares, phi, 5, Workspace(s)).withColumn("log_p", F.round("log_p", 5))
