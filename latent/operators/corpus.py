@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latent.functions.mathx import sql
@@ -139,8 +139,15 @@ class Corpus:
     hot: list[tuple] = field(default_factory=list)
     hot_docs: list[tuple] = field(default_factory=list)
 
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.cells.sparkSession
+
     @classmethod
-    def build(cls, workspace, cells: DataFrame) -> "Corpus":
+    def build(cls, workspace, cells: "DataFrame | Corpus") -> "Corpus":
+        """The corpus of ``cells``; one that is built already stays as it is, in its own workspace."""
+        if isinstance(cells, cls):
+            return cells
         cells = workspace.cut(cells.where(F.col("n") > 0), "cells", pin=True)
         vocab = workspace.cut(vocab_counts(cells), "vocab", pin=True)
         docs = workspace.cut(cells.groupBy("doc_id").agg(

@@ -10,6 +10,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latent.operators.corpus import Corpus
 from latent.plans.loop import Fitted, Run
 
 
@@ -18,11 +19,13 @@ def grid(**values) -> list[dict]:
     return [dict(zip(values, combo)) for combo in product(*values.values())]
 
 
-def run_chains(fit: Callable[..., Fitted], data: DataFrame, settings: list[dict],
+def run_chains(fit: Callable[..., Fitted], data: DataFrame | Corpus, settings: list[dict],
                seeds: list[int], run: Run = Run(), parallel: int = 2) -> list[Fitted]:
     """Fit every setting under every seed; chains run as concurrent jobs of one session.
 
-    Chains are numbered in order and write under their own ``chain_id``.
+    Chains are numbered in order and write under their own ``chain_id``. Given a built
+    :class:`Corpus`, fits over plain cells (flat, tree, cross-cat, mixture, clustered) share it;
+    given cells, each chain builds its own.
     """
     jobs = [(i, s, seed) for i, (s, seed) in enumerate(product(settings, seeds))]
 

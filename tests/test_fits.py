@@ -1,6 +1,7 @@
 import math
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,24 @@ def test_chains_and_saved_states(spark, planted, tmp_path):
     assert {r[0] for r in saved.select("kind").distinct().collect()} >= {"best", "last"}
 
 
+def test_chains_share_one_corpus(spark, planted, monkeypatch):
+    """Each chain equals its single run over cells, and no chain writes the corpus again."""
+    ws, run = Workspace(spark), Run(batches=1, max_sweeps=2)
+    corpus = Corpus.build(ws, planted)
+    cuts, cut = [], Workspace.cut
+    monkeypatch.setattr(Workspace, "cut", lambda self, df, name, pin=False: (
+        cuts.append(name), cut(self, df, name, pin))[1])
+    done = chains.run_chains(lda.fit_lda, corpus, chains.grid(k=[2, 3]), [7, 8], run)
+    assert not {"cells", "vocab", "docs"} & set(cuts)
+    for chain, (k, seed) in zip(done, [(2, 7), (2, 8), (3, 7), (3, 8)], strict=True):
+        alone = lda.fit_lda(planted, k, run=Run(seed=seed, batches=1, max_sweeps=2))
+        assert np.allclose(lls(chain), lls(alone))
+        one, other = (sorted(map(tuple, f.tables()["tokens"].select("doc_id", "term", "pos", "z").collect()))
+                      for f in (chain, alone))
+        assert one == other
+    assert corpus.cells.count() == planted.count()
+
+
 def test_window_fit_evicts_and_replays(spark, tmp_path):
     model = fold.WindowFit(spark, 2, window=3, path=str(tmp_path / "w"))
     for b in range(3):
