@@ -155,19 +155,26 @@ class WindowFit:
         spark = cells.sparkSession
         ws = Workspace(spark)
         site = (DOC, TERM, POS)
-        new = expand_tokens(cells).select(
-            "doc_id", "term", "pos",
-            site_integer(self.k, self.seed, "init", *site).alias("z"))
+        cells = cells.where(F.col("n") > 0)
+        arrived = ws.cut(cells.select("doc_id").distinct(), "arrived")
         before = [b for b in self.saved(spark) if b < batch_id]
         old = self.state(spark, before[-1]) if before else None
-        held = new if old is None else old.join(
-            new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new)
-        held = ws.cut(held, "held")
-        docs = held.select("doc_id").distinct()
+        docs = arrived
+        if old is not None:
+            old = old.join(arrived, "doc_id", "left_anti")
+            docs = ws.cut(old.select("doc_id").unionByName(arrived).distinct(), "docs")
         excess = docs.count() - self.window
         if excess > 0:
+            # Documents go before their tokens are listed, so a large batch costs one look at its ids.
             out = self.evicted(docs, excess, batch_id)
-            held = ws.cut(held.join(out, "doc_id", "left_anti"), "kept")
+            kept = ws.cut(docs.join(out, "doc_id", "left_anti").withColumnRenamed("doc_id", "_kept"), "kept")
+            stays = F.col("doc_id").eqNullSafe(F.col("_kept"))
+            cells = cells.join(kept, stays, "left_semi")
+            old = None if old is None else old.join(kept, stays, "left_semi")
+        new = expand_tokens(cells).select(
+            "doc_id", "term", "pos",
+            site_integer(self.k, self.seed, "init", *site).alias("z"))
+        held = ws.cut(new if old is None else old.unionByName(new), "held")
         corpus = Corpus.build(ws, held.groupBy("doc_id", "term").agg(F.count("*").alias("n")))
         parts = [ws.cut(held.where(batch_of(self.batches, self.seed, *site) == b), "part")
                  for b in range(self.batches)]
