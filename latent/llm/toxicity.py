@@ -137,9 +137,14 @@ def _ratio(yes: int, no: int, without: int, within: int) -> float:
 
 def fit(texts: Iterable, toxic: list[int], settings: Settings = Settings()) -> Model:
     """Maximum likelihood of the document labels by gradient ascent with momentum (Adam)."""
-    pool: dict[str, str] = {}  # one object for each word, however often it occurs
-    bags = [[sorted({pool.setdefault(x, x) for x in w}) for _, _, w in sentences(str(t)) if w] or [[]]
-            for t in texts]
+    pool: dict = {}  # one object for each word and for each sentence, however often it occurs
+
+    def shared(words: list[str]) -> tuple[str, ...]:
+        bag = tuple(sorted({pool.setdefault(x, x) for x in words}))
+        return pool.setdefault(bag, bag)
+
+    bags = [[shared(w) for _, _, w in sentences(str(t)) if w] or [()] for t in texts]
+    del pool
     kept = telling_features(bags, toxic, settings.evidence)
     if not kept:
         return Model(settings.bias, {}, (sum(toxic) + 0.5) / (len(toxic) + 1))

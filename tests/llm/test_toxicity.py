@@ -54,3 +54,14 @@ def test_without_labels(odd, none, spark):
     model = toxicity.train(odd, empty)
     assert not any(r.predicted for r in toxicity.score(odd, model).collect())
     assert toxicity.score(none, model).count() == 0 and toxicity.accepted(none, model).count() == 0
+
+
+def test_copies_of_a_sentence_are_held_once():
+    import tracemalloc
+    sentence = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100))
+    texts = [f"{sentence}. " * 40] * 200
+    tracemalloc.start()
+    toxicity.fit(texts, [i % 2 for i in range(200)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
