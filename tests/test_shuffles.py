@@ -18,10 +18,10 @@ def plan(df):
 
 
 def state(spark):
-    """Tokens in lists of two to four slots, one of them REJECT; one term and one node are null."""
+    """Tokens in lists of two to four slots, one of them REJECT; one term is null."""
     cells = spark.createDataFrame([*ROWS, (3, None, 2)], "doc_id long, term string, n long")
     tokens = expand_tokens(cells).withColumn("z", site_integer(3, 0, "init", DOC, TERM, POS))
-    rows = [(d, i, n) for d in range(11) for i, n in enumerate(["x", "y" if d % 2 else None, "REJECT", f"n{d % 3}"][:2 + d % 3])]
+    rows = [(d, i, n) for d in range(11) for i, n in enumerate(["x", "y", "REJECT", f"n{d % 3}"][:2 + d % 3])]
     slots = spark.createDataFrame(rows, "doc_id long, slot int, node_id string").withColumn("alpha", F.lit(0.1))
     return cells, tokens.localCheckpoint(), slots.localCheckpoint()
 
@@ -58,3 +58,8 @@ def test_few_nodes_list_no_slots_in_a_shuffle(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert not any(few) and all(many)
+
+
+def test_a_null_node_is_met_by_the_plain_form(spark):
+    slots = spark.createDataFrame([(1, 0, "x"), (1, 1, None)], "doc_id long, slot int, node_id string")
+    assert not levels.few_nodes(slots) and levels.few_nodes(slots.where("slot = 0"))
