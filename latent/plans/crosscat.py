@@ -46,7 +46,7 @@ class ViewModel(Model):
             sizes = self.ws.cut(cluster_sizes(members, terms), "sizes")
             sites = self.ws.cut(self.sites(members, pending, vcells, sizes), "sites")
             gain = shared_gain(sites, vcells, terms, polya_gain(self.eta, "_rest", "n"),
-                               self.corpus.hot)
+                               self.corpus.hot, self.corpus.hot_docs)
             # One row a view, and views are a parameter.
             free = [r[0] for r in open_views(sizes, self.kmax, self.noise_view).collect()]
             fresh = F.when(F.col("may_found") & F.col("view").isin(free),

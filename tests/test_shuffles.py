@@ -1,10 +1,15 @@
 """Shapes that keep shuffles in proportion to the tokens, and equality with the plain forms."""
 
+import math
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from latent import session
 from latent.functions.sites import DOC, POS, TERM, site_integer, site_uniform
+from latent.operators import clusters as cl
+from latent.operators import corpus as corpus_of
 from latent.operators import levels, structure
 from latent.operators.corpus import Corpus, expand_tokens
 from latent.plans.flat import redraw_slots
@@ -63,3 +68,48 @@ def test_few_nodes_list_no_slots_in_a_shuffle(spark, monkeypatch):
 def test_a_null_node_is_met_by_the_plain_form(spark):
     slots = spark.createDataFrame([(1, 0, "x"), (1, 1, None)], "doc_id long, slot int, node_id string")
     assert not levels.few_nodes(slots) and levels.few_nodes(slots.where("slot = 0"))
+
+
+def test_shared_gain_deals_cells_and_not_their_clusters(spark, monkeypatch):
+    """Rows of a cell and a cluster are made and summed where a site's cells are together; lists that
+    go on in further rows and hot documents give the same sums."""
+    cells = spark.createDataFrame([(*r[:2], 0, r[2]) for r in ROWS], "doc_id long, term string, view long, n long")
+    sites = spark.createDataFrame([(d, 0, d % 3) for d in range(12)], "doc_id long, view long, home long")
+    terms = cl.cluster_terms(cells, sites.withColumnRenamed("home", "cluster"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most, hot in ((4096, []), (2, []), (1, [(1, 3), (2, 2)])):
+            monkeypatch.setattr(corpus_of, "LIST_ITEMS", most)
+            gain = cl.shared_gain(sites, cells, terms, cl.plugin_gain(0.1), (), hot)
+            found.append(sorted((*r[:3], round(r[3], 9)) for r in gain.collect()))
+            if not hot:
+                assert "hashpartitioning(doc_id#" in plan(gain)
+                assert not re.search(r"hashpartitioning\(doc_id#\d+L, view#\d+L, cluster#", plan(gain))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    nw, home = {(r["cluster"], r["term"]): r["nw"] for r in terms.collect()}, {d: d % 3 for d in range(12)}
+    want = {}
+    for d, term, n in ROWS:
+        for c in range(3):
+            if (left := nw.get((c, term), 0) - n * (home[d] == c)) > 0:
+                want[d, 0, c] = want.get((d, 0, c), 0) + n * (math.log(left + 0.1) - math.log(0.1))
+    assert found[0] == found[1] == found[2] == sorted((*k, round(v, 9)) for k, v in want.items())
+
+
+def test_shuffles_of_a_cut_go_when_it_is_written(spark):
+    """Their files would stay until the driver's garbage is collected."""
+    def files():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+
+    before, set_to = files(), spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    table = Workspace(spark).cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7
+    with session.short_shuffles(spark), session.short_shuffles(spark):
+        assert spark.conf.get(session.SHUFFLE_CLEANUP) == "true"
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == set_to
