@@ -113,3 +113,16 @@ def test_shuffles_of_a_cut_go_when_it_is_written(spark):
     with session.short_shuffles(spark), session.short_shuffles(spark):
         assert spark.conf.get(session.SHUFFLE_CLEANUP) == "true"
     assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == set_to
+
+
+def test_few_nodes_terms_are_met_before_documents(spark, monkeypatch):
+    """A document's lists must not be dealt by term with each of its terms."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = next(forms(spark, monkeypatch))
+        tokens, senses = ([re.sub(r"#\d+L?", "", j) for j in re.findall(r"Join (\[[^\]]*\])", plan(df))] for df in few[2:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert tokens.index("[doc_id]") < tokens.index("[term]")
+    assert "[doc_id]" not in senses[senses.index("[term]"):]
